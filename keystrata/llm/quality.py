@@ -183,3 +183,18 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None, keep_columns: b
     reach(docs.sparkSession)
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried)
     return source.mapInArrow(run, f"{schema}, {_FIELDS}")
+
+
+def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns as they are."""
+    limits = limits or Limits()
+    kept_at = [f.split()[0] for f in _FIELDS.split(",")].index("kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = textcore.as_strings(batch.column("text"))
+            for a, b in textcore.slices(texts):
+                yield batch.slice(a, b - a).filter(measure(texts.slice(a, b - a), limits)[kept_at])
+
+    reach(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
