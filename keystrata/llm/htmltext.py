@@ -47,6 +47,9 @@ _MARKS = frozenset(
     " sharing social comment comments disqus reply replies respond related recommended newsletter subscribe subscription"
     " signup breadcrumb breadcrumbs pagination pager popup modal overlay login search toolbar skip hidden dialog".split()
 )
+#: Beside these a mark says something about the page or belongs to the article.
+_ABOUT = frozenset({"has", "with", "no", "without"})
+_HEADLINE = frozenset({"article", "post", "entry", "story"})
 _CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _DIGITS = re.compile(r"\d+")
@@ -61,6 +64,12 @@ class Page:
     """
 
     def __init__(self, source: str):
+        self._read(source, _MARKS)
+        if not self.blocks:  # everything stands below a mark
+            self._read(source, frozenset())
+
+    def _read(self, source: str, marks: frozenset[str]) -> None:
+        self._marks = marks
         self.paths: list[str] = []
         self.parents: list[int] = []
         self.blocks: list[list] = []
@@ -136,9 +145,13 @@ class Page:
                     if key == "class":
                         label = ".".join([name, *sorted(_DIGITS.sub("0", value.lower()).split())])
         if counts and name not in ("body", "html", "article", "main"):
-            counts = name not in _APART and _MARKS.isdisjoint(words)
-            if not counts and name == "header" and any(t in ("article", "main") for t, _, _ in self._stack):
-                counts = True  # a headline inside the article
+            found = self._marks.intersection(words)
+            inside = any(t in ("article", "main") for t, _, _ in self._stack)
+            if found and not _ABOUT.isdisjoint(words):
+                found = frozenset()
+            if found == {"header"} and (inside or not _HEADLINE.isdisjoint(words)):
+                found = frozenset()  # the headline of the article
+            counts = not found and (name not in _APART or (name == "header" and inside))
         if name in _CONTAINER and name not in ("body",) and counts:
             self.paths.append(f"{self.paths[above]}/{label}")
             self.parents.append(above)
