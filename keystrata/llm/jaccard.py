@@ -46,29 +46,28 @@ def linked_classes(engine: setjoin.Engine) -> tuple[DataFrame, DataFrame]:
     """All links that the components need, and the components, of classes.
 
     First every class meets the head of its keys.  Where a key still has classes of several
-    components, those outside its largest component meet all others of the key, so that pairs
-    within a component are never formed.
+    components, those outside its largest component are compared with the others of the key in blocks
+    (:meth:`.setjoin.Engine.rest`).
     """
     boundary = setjoin.subset_boundary(engine.alive)
     keys = engine.scratch.keep(setjoin.join_keys(engine.alive, boundary), "keys")
     head = F.min(F.struct("size", "class", "rank")).alias("head")
     heads = keys.groupBy("key").agg(head, F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = engine.verify(engine.pairs(setjoin.star(keys, heads)))
+    links = engine.verify(engine.likely(engine.pairs(setjoin.star(keys, heads))))
     roots = components(links, engine.scratch, "star")
-    rooted = keys.join(heads.select("key"), "key", "left_semi").join(roots, "class", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "class"))
-    members = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    wide = heads.where("n > 2").select("key", "n", F.col("head.class").alias("head_class"))
+    rooted = keys.join(wide, "key").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     split = (
         members.groupBy("key")
-        .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+        .agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
         .where("roots > 1")
-        .select("key", "main")
+        .select("key", "largest")
     )
-    open_rows = engine.scratch.keep(rooted.join(split, "key"), "open")
-    side = lambda x: open_rows.select("key", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("class", "size", "rank", "root")))
-    rest = side("a").where("a_root <> main").join(side("b").drop("main"), "key")
-    rest = rest.where("a_root <> b_root AND (b_root = main OR a_class < b_class)")
-    more = engine.verify(engine.pairs(rest))
+    rows = rooted.join(split, "key").where("class <> head_class")
+    rows = rows.select("key", "n", "class", "size", "rank", F.col("root").alias("tag"), (F.col("root") == F.col("largest")).alias("main"))
+    rows = engine.scratch.keep(rows.withColumn("unsettled", ~F.col("main")), "open")
+    more = engine.verify(engine.likely(engine.rest(rows, "differ")))
     links = links.unionByName(more)
     return links, components(links, engine.scratch, "all")
 

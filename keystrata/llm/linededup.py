@@ -8,8 +8,8 @@ positional and bitmap filters thin the pairs, and Jaccard is computed on whole s
 A line is removed if a line before it - in a document with a smaller ``doc_id``, or higher up in
 the same one - has a similarity of 0.8 or more.  All but the first line of a class have one in
 their class; for the first lines it takes pairs of classes.  Each class first meets the
-earliest class of its keys, which settles most; only those still unsettled meet the other
-earlier classes of their keys.
+earliest class of its keys, which settles most; only those still unsettled are compared with
+the other earlier classes of their keys, in blocks.
 """
 
 from __future__ import annotations
@@ -40,15 +40,14 @@ def later_matches(docs: DataFrame) -> DataFrame:
     keys = engine.scratch.keep(alive.join(order, "class"), "keys")
     head = F.min_by(F.struct("class", "size", "rank", "first"), F.col("first")).alias("head")
     heads = keys.groupBy("key").agg(head, F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = engine.verify(engine.pairs(setjoin.star(keys, heads)))
+    links = engine.verify(engine.likely(engine.pairs(setjoin.star(keys, heads))))
     settled = _matched(links, order)
-    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("class", "size", "rank", "first")))
     # a class that heads a key has nothing earlier there, and the head itself was met already
-    behind = keys.join(heads.select("key", F.col("head.class").alias("head_class")), "key").where("class <> head_class")
-    behind = engine.scratch.keep(behind.drop("head_class"), "behind")
-    unsettled = side(behind.join(settled, "class", "left_anti"), "a")
-    rest = unsettled.join(side(behind, "b"), "key").where("b_first < a_first")
-    more = engine.verify(engine.pairs(rest))
+    wide = heads.where("n > 2").select("key", "n", F.col("head.class").alias("head_class"))
+    rows = keys.join(wide, "key").where("class <> head_class").join(settled.withColumn("met", F.lit(True)), "class", "left")
+    place = F.concat(*(F.unhex(F.lpad(F.hex(x), 16, "0")) for x in (F.col("first.doc_id").bitwiseXOR(F.lit(-(1 << 63))), F.col("first.unit"))))
+    rows = rows.select("key", "n", "class", "size", "rank", place.alias("tag"), F.lit(False).alias("main"), F.col("met").isNull().alias("unsettled"))
+    more = engine.verify(engine.likely(engine.rest(engine.scratch.keep(rows, "open"), "earlier")))
     settled = engine.scratch.keep(settled.unionByName(_matched(more, order)).distinct(), "settled")
     first_lines = order.join(settled, "class").select(F.col("first.doc_id").alias("doc_id"), F.col("first.unit").alias("unit"))
     rows = engine.ledger.where("class IS NOT NULL")

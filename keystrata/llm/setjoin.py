@@ -9,9 +9,9 @@ Sets are keyed by content (*class*: a 128-bit digest of the set), so copies neve
 3. Rows become join keys (:func:`join_keys`), pairs are formed per key in two steps, and each
    pair passes length, positional and bitmap filters before its sets are fetched and compared.
 
-No step forms all pairs of a group: first every member of a key meets the key's first class
-only, then the members that this left unresolved meet the rest (:func:`star`, callers' second
-step).
+No step forms all pairs of a group as rows: first every member of a key meets the key's head
+only (:func:`star`), then the members that this left unresolved are compared with the others in
+blocks of bounded size, and only what all filters leave becomes a row (:meth:`Engine.rest`).
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 HEAVY, HEAVY_SENDER, HEAVY_LEAST = 1 << 17, 1 << 16, 16
 #: Sets up to this size may be joined by subsets.
 SMALL_MOST = 64
-BITMAP_MOST = 1 << 16
+BITMAP_MOST, SKETCH_MOST = 1 << 16, 512
+#: Rows of a key that are compared with each other in one go; most documents whose ids are broadcast.
+BLOCK, FETCH_MOST = 256, 200_000
 
 
 @dataclass
@@ -129,9 +131,9 @@ def needed(size):
     return (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity bitmap of at least two bits a token; smaller ones are folds of larger ones."""
-    bits = min(BITMAP_MOST, max(64, 1 << int(2 * len(tokens) - 1).bit_length()))
+def bitmap(tokens: np.ndarray, most: int = BITMAP_MOST) -> bytes:
+    """Parity bitmap of at least four bits a token, or of ``most``; smaller ones are folds of larger ones."""
+    bits = min(most, max(64, 1 << int(4 * len(tokens) - 1).bit_length()))
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -166,7 +168,7 @@ class Engine:
             self.docs.mapInArrow(
                 _postings(self.units, heavy, self.n_owners),
                 f"{exchange.MESSAGE}, item binary, place binary, sigs binary, sizes binary,"
-                " doc_id long, unit long, size long, class binary, bitmap binary",
+                " doc_id long, unit long, size long, class binary, bitmap binary, sketch binary",
             ),
             "postings",
         )
@@ -175,10 +177,10 @@ class Engine:
         self.reps = self.scratch.keep(
             stored.where("sender IS NULL AND class IS NOT NULL")
             .groupBy("class")
-            .agg(first, F.max("bitmap").alias("bitmap"), F.max("size").alias("size")),
+            .agg(first, F.max("bitmap").alias("bitmap"), F.max("sketch").alias("sketch"), F.max("size").alias("size")),
             "classes",
         )
-        sent = stored.where("sender IS NOT NULL").drop("doc_id", "unit", "size", "class", "bitmap")
+        sent = stored.where("sender IS NOT NULL").drop("doc_id", "unit", "size", "class", "bitmap", "sketch")
         answers = exchange.duplicates(sent.where("owner >= 0"))
         alive = sent.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(
             _alive, "token long, class binary, size int, `rank` int"
@@ -227,27 +229,57 @@ class Engine:
             .distinct()
         )
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` whose sets are similar enough, by whole sets; written to storage."""
-        self.rounds += 1
-        tag = f"round{self.rounds}"
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their bitmaps do not rule out."""
         small = self.reps.select("class", "size", "bitmap")
         side = lambda x: small.select(*(F.col(c).alias(f"{x}_{c}" if c != "class" else x) for c in small.columns))
-        likely = (
+        return (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
             .select("a", "b", "a_size", "b_size", "a_bitmap", "b_bitmap")
             .mapInArrow(_likely, "a binary, b binary")
         )
+
+    def rest(self, rows: DataFrame, rule: str) -> DataFrame:
+        """Likely pairs of an unsettled row and another of the same key.
+
+        ``rows`` has ``key, n`` (rows of the key), ``class, size, rank, tag`` (16 bytes), ``main``
+        and ``unsettled``.  With rule ``differ`` the tags must not be equal, and of two rows that
+        are not ``main`` one order is enough; with ``earlier`` the other row's tag must be less.
+        Heads are left out by the caller: :func:`star` has dealt with them.
+
+        A key's rows are dealt into blocks by their class; each block of unsettled rows meets
+        each block of all rows in a group of its own, by bitmaps of at most 64 bytes.  Only the first common token of a pair is
+        taken for its bound: at most 1 + min(tokens after it) are common then.
+        """
+        dealt = (
+            rows.join(self.reps.select("class", "sketch"), "class")
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        )
+        columns = ["key", "class", "size", "rank", "tag", "main", "sketch"]
+        left = dealt.where("unsettled").select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
+        right = dealt.select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+        together = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        return together.mapInArrow(_compare_blocks(rule), "a binary, b binary").distinct()
+
+    def verify(self, likely: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` whose sets are similar enough, by whole sets; written to storage."""
+        self.rounds += 1
+        tag = f"round{self.rounds}"
         likely = self.scratch.keep(likely, f"likely{tag}")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = wanted.join(self.reps.select("class", "first"), "class")
-        wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-            F.collect_list(F.struct(F.col("first.unit").alias("unit"), "class")).alias("wanted")
-        )
-        sets = self.scratch.keep(
-            self.docs.join(wanted, "doc_id").mapInArrow(_fetch(self.units), "class binary, tokens binary"), f"sets{tag}"
+        wanted = self.scratch.keep(
+            wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+                F.collect_list(F.struct(F.col("first.unit").alias("unit"), "class")).alias("wanted")
+            ),
+            f"wanted{tag}",
         )
+        few = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
+        chosen = self.docs.join(F.broadcast(wanted) if few <= FETCH_MOST else wanted, "doc_id")
+        sets = self.scratch.keep(chosen.mapInArrow(_fetch(self.units), "class binary, tokens binary"), f"sets{tag}")
         linked = (
             likely.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
@@ -256,7 +288,7 @@ class Engine:
             .distinct()
         )
         linked = self.scratch.keep(linked, f"links{tag}")
-        self.scratch.drop(f"likely{tag}", f"sets{tag}")
+        self.scratch.drop(f"likely{tag}", f"sets{tag}", f"wanted{tag}")
         return linked
 
 
@@ -357,7 +389,7 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 _STORED = pa.schema(
     [("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32())]
     + [(x, pa.binary()) for x in ("keys", "repeats", "rank", "item", "place", "sigs", "sizes")]
-    + [("doc_id", pa.int64()), ("unit", pa.int64()), ("size", pa.int64()), ("class", pa.binary()), ("bitmap", pa.binary())]
+    + [("doc_id", pa.int64()), ("unit", pa.int64()), ("size", pa.int64()), ("class", pa.binary()), ("bitmap", pa.binary()), ("sketch", pa.binary())]
 )
 
 
@@ -414,11 +446,13 @@ def _postings(units, heavy, n_owners: int):
                 own = [sigs[16 * i : 16 * i + 16] if ok else None for i, ok in enumerate(named.tolist())]
                 item = np.full(len(own), -1, np.int64)
                 maps: list[bytes | None] = [None] * len(own)
+                folds: list[bytes | None] = [None] * len(own)
                 for i, c in enumerate(own):
                     if c is not None and c not in sender.index:
                         item[i] = sender.index[c] = len(sender.index)
                         sender.sizes.append(int(size[i]))
                         maps[i] = bitmap(s.token[s.first[i] : s.first[i + 1]])
+                        folds[i] = bitmap(s.token[s.first[i] : s.first[i + 1]], SKETCH_MOST) if len(maps[i]) > SKETCH_MOST // 8 else maps[i]
                 most = size - needed(size) + np.where(size <= SMALL_MOST * DENOMINATOR // NUMERATOR, 2, 1)
                 pick = np.flatnonzero((item[s.unit] >= 0) & (rank < most[s.unit]) & (size[s.unit] > 1))
                 sender.tokens.append(s.token[pick])
@@ -432,6 +466,7 @@ def _postings(units, heavy, n_owners: int):
                         "size": pa.array(size, pa.int64()),
                         "class": pa.array(own, pa.binary()),
                         "bitmap": pa.array(maps, pa.binary()),
+                        "sketch": pa.array(folds, pa.binary()),
                     }
                 )
                 if sender.count >= exchange.SENDER_KEYS:
@@ -473,6 +508,110 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _compare_blocks(rule: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if held and _place(held[-1], held[-1].num_rows - 1) != _place(batch, 0):
+                yield _compared(pa.Table.from_batches(held), rule)
+                held = []
+            # the last group may go on in the next batch
+            ends = _group_ends(batch)
+            if len(ends) > 1:
+                held.append(batch.slice(0, ends[-2]))
+                yield _compared(pa.Table.from_batches(held), rule)
+                held = [batch.slice(ends[-2])]
+            else:
+                held.append(batch)
+        if held:
+            yield _compared(pa.Table.from_batches(held), rule)
+
+    return run
+
+
+def _place(batch, row: int) -> tuple:
+    return tuple(batch.column(c)[row].as_py() for c in ("key", "i", "j"))
+
+
+def _group_ends(batch) -> np.ndarray:
+    at = [np.asarray(batch.column(c)) for c in ("key", "i", "j")]
+    fresh = np.zeros(batch.num_rows, bool)
+    for x in at:
+        fresh[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(fresh), batch.num_rows)
+
+
+def _fixed(column) -> np.ndarray:
+    """16-byte values as two big-endian numbers each, which compare as the bytes do."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _below(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x[..., 0] < y[..., 0]) | ((x[..., 0] == y[..., 0]) & (x[..., 1] < y[..., 1]))
+
+
+def _compared(table: pa.Table, rule: str) -> pa.RecordBatch:
+    """Likely pairs within the groups of a sorted table."""
+    table = table.combine_chunks()
+    size, rank = (np.asarray(table[c]).astype(np.int64) for c in ("size", "rank"))
+    names, tags = _fixed(table["class"]), _fixed(table["tag"])
+    main, right = np.asarray(table["main"]), np.asarray(table["side"]) == 1
+    maps = table["sketch"].to_pylist()
+    width = np.array([len(m) for m in maps])
+    pairs: list[np.ndarray] = []
+    begin = 0
+    for end in _group_ends(table).tolist():
+        middle = begin + int(np.searchsorted(right[begin:end], True))
+        a, b = np.arange(begin, middle)[:, None], np.arange(middle, end)[None, :]
+        if a.size and b.size:
+            n, m = size[a], size[b]
+            good = (DENOMINATOR * n >= NUMERATOR * m) & (DENOMINATOR * m >= NUMERATOR * n)
+            good &= np.minimum(n - rank[a], m - rank[b]) >= -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
+            if rule == "differ":
+                good &= (tags[a] != tags[b]).any(axis=2) & (main[b] | _below(names[a], names[b]))
+            else:
+                good &= _below(tags[b], tags[a])
+            x, y = np.nonzero(good)
+            if len(x):
+                pairs.append(_by_bitmaps(x + begin, y + middle, size, maps, width))
+        begin = end
+    found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    swap = _below(names[found[:, 1]], names[found[:, 0]])
+    found[swap] = found[swap][:, ::-1]
+    column = table["class"].combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    return pa.RecordBatch.from_arrays([column.take(pa.array(found[:, i])) for i in (0, 1)], names=["a", "b"])
+
+
+def _by_bitmaps(x: np.ndarray, y: np.ndarray, size: np.ndarray, maps: list[bytes], width: np.ndarray) -> np.ndarray:
+    """The pairs that :func:`most_overlap` lets pass, many at once by the widths of their bitmaps."""
+    keep = np.zeros(len(x), bool)
+    least = -(-NUMERATOR * (size[x] + size[y]) // (NUMERATOR + DENOMINATOR))
+    folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def fold(row: int, to: int) -> np.ndarray:
+        if (row, to) not in folded:
+            folded[row, to] = np.bitwise_xor.reduce(np.frombuffer(maps[row], np.uint8).reshape(-1, to), axis=0)
+        return folded[row, to]
+
+    narrow = np.minimum(width[x], width[y])
+    for to in np.unique(narrow).tolist():
+        at = np.flatnonzero(narrow == to)
+        rows, place = np.unique(np.concatenate((x[at], y[at])), return_inverse=True)
+        bits = np.stack([fold(r, to) for r in rows.tolist()])
+        p, q = place[: len(at)], place[len(at) :]
+        step = max(1, (4 << 20) // to)
+        for i in range(0, len(at), step):
+            part = slice(i, i + step)
+            odd = np.bitwise_count(bits[p[part]] ^ bits[q[part]]).sum(axis=1, dtype=np.int64)
+            own = at[part]
+            keep[own] = (size[x[own]] + size[y[own]] - odd) // 2 >= least[own]
+    return np.stack((x[keep], y[keep]), axis=1)
+
+
 def _fetch(units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
