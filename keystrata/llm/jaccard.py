@@ -51,7 +51,7 @@ def linked_classes(engine: setjoin.Engine) -> tuple[DataFrame, DataFrame]:
     """
     boundary = setjoin.subset_boundary(engine.alive)
     keys = engine.scratch.keep(setjoin.join_keys(engine.alive, boundary), "keys")
-    head = F.min(F.struct("size", "class", "rank")).alias("head")
+    head = F.min(F.struct("class", "size", "rank")).alias("head")  # the smallest digest: any class, the same for all keys of a group
     heads = keys.groupBy("key").agg(head, F.count(F.lit(1)).alias("n")).where("n > 1")
     links = engine.verify(engine.likely(engine.pairs(setjoin.star(keys, heads))))
     roots = components(links, engine.scratch, "star")

@@ -249,19 +249,23 @@ class Engine:
         Heads are left out by the caller: :func:`star` has dealt with them.
 
         A key's rows are dealt into blocks by their class; each block of unsettled rows meets
-        each block of all rows in a group of its own, by bitmaps of at most 64 bytes.  Only the first common token of a pair is
+        each block of all rows in a group of its own, by bitmaps of at most 64 bytes.  Groups of
+        the same blocks lie together whatever their key, so that a pair with many common tokens
+        becomes one row.  Only the first common token of a pair is
         taken for its bound: at most 1 + min(tokens after it) are common then.
         """
         dealt = (
             rows.join(self.reps.select("class", "sketch"), "class")
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("blocks", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0))))).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         )
-        columns = ["key", "class", "size", "rank", "tag", "main", "sketch"]
+        columns = ["key", "blocks", "class", "size", "rank", "tag", "main", "sketch"]
         left = dealt.where("unsettled").select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
         right = dealt.select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-        together = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        cell = F.when(F.col("blocks") > 1, F.xxhash64("blocks", "i", "j")).otherwise(F.xxhash64("key"))
+        together = left.unionByName(right).withColumn("cell", cell).repartition("cell")
+        together = together.sortWithinPartitions("cell", "key", "i", "j", "side").drop("cell", "blocks")
         return together.mapInArrow(_compare_blocks(rule), "a binary, b binary").distinct()
 
     def verify(self, likely: DataFrame) -> DataFrame:
@@ -508,25 +512,43 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+class _Fresh:
+    """Leaves out pairs that the task has given before; forgets them when they are too many."""
+
+    def __init__(self, most: int = 200_000):
+        self.seen: set[bytes] = set()
+        self.most = most
+
+    def __call__(self, pairs: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            keep.append(a + b not in self.seen)
+            self.seen.add(a + b)
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        return pairs.filter(pa.array(keep, pa.bool_()))
+
+
 def _compare_blocks(rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        fresh = _Fresh()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             if held and _place(held[-1], held[-1].num_rows - 1) != _place(batch, 0):
-                yield _compared(pa.Table.from_batches(held), rule)
+                yield fresh(_compared(pa.Table.from_batches(held), rule))
                 held = []
             # the last group may go on in the next batch
             ends = _group_ends(batch)
             if len(ends) > 1:
                 held.append(batch.slice(0, ends[-2]))
-                yield _compared(pa.Table.from_batches(held), rule)
+                yield fresh(_compared(pa.Table.from_batches(held), rule))
                 held = [batch.slice(ends[-2])]
             else:
                 held.append(batch)
         if held:
-            yield _compared(pa.Table.from_batches(held), rule)
+            yield fresh(_compared(pa.Table.from_batches(held), rule))
 
     return run
 
