@@ -7,8 +7,8 @@ nothing is lost, at a fraction of the positions.  A rung's windows that occur tw
 extended to the next length; those that occur once drop out.  The ladder ends at the wanted
 length or when no candidate survives.
 
-Counting is done by the hash exchange, with keys of 64 bits at each rung, so that what is
-removed has agreed in two independent hashes: its lower window's and its own.
+Counting is done by the hash exchange, with keys of 64 bits at each rung: what is removed has
+agreed in the hash of its lower window and in its own.  Both come from the same word hashes.
 """
 
 from __future__ import annotations
