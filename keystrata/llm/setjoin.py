@@ -273,7 +273,8 @@ class Engine:
         self.rounds += 1
         tag = f"round{self.rounds}"
         likely = self.scratch.keep(likely, f"likely{tag}")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        either = likely.select(F.col("a").alias("class")).distinct().union(likely.select(F.col("b").alias("class")).distinct())
+        wanted = either.distinct()
         wanted = wanted.join(self.reps.select("class", "first"), "class")
         wanted = self.scratch.keep(
             wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
