@@ -22,12 +22,37 @@ from .scratch import reach
 #: Least coverage of a template, and words of text per word of template within which it counts.
 COVERAGE, SPREAD = 0.85, 1.5
 
-#: Notices and license texts (fixed values).
+
+def _gnu(name: str, version: str) -> str:
+    """The notice of the GNU licenses; the subject (program, library, a name) is left out, it does not tell them apart."""
+    return (
+        f"This is free software: you can redistribute it and/or modify it under the terms of the {name} as published by"
+        f" the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        " This is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    )
+
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    " the following conditions are met: Redistributions of source code must retain the above copyright notice, this"
+    " list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
+    " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
+    " materials provided with the distribution."
+)
+_BSD_ADVERTISING = " All advertising materials mentioning features or use of this software must display the following acknowledgement:"
+_BSD_NAMES = (
+    " Neither the name of nor the names of its contributors may be used to endorse or promote products derived from"
+    " this software without specific prior written permission."
+)
+
+#: Notices and license texts (fixed values); holders and products are left out of texts.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "Licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0-notice": "Licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0-notice": "Licensed under the GNU Affero General Public License, version 3.",
     "BSD-3-Clause-notice": "Use of this source code is governed by a BSD-style license.",
@@ -40,6 +65,7 @@ TEMPLATES = {
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related rights.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission.",
+    "all-rights-reserved-notice": "All rights reserved.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
         " documentation files (the Software), to deal in the Software without restriction, including without limitation"
@@ -55,18 +81,25 @@ TEMPLATES = {
         " either express or implied. See the License for the specific language governing permissions and limitations"
         " under the License."
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met: Redistributions of source code must retain the above copyright notice, this"
-        " list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
-        " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
-        " materials provided with the distribution."
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD + _BSD_NAMES,
+    "BSD-4-Clause": _BSD + _BSD_ADVERTISING + _BSD_NAMES,
+    "GPL-2.0": _gnu("GNU General Public License", "2"),
+    "GPL-3.0": _gnu("GNU General Public License", "3"),
+    "LGPL-2.0": _gnu("GNU Library General Public License", "2"),
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3"),
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use"
+        " this file except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an AS IS basis, WITHOUT"
+        " WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights"
+        " and limitations under the License."
     ),
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
-        " option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
-        " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+        " not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
@@ -74,6 +107,9 @@ TEMPLATES = {
     ),
 }
 
+#: Reservations rather than licenses: named as the license of a text only where it has no other.
+_RESERVED = frozenset({"all-rights-reserved", "all-rights-reserved-notice"})
+
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -146,7 +182,11 @@ class Scanner:
                 self.times[self.number[w], t] += 1
 
     def matches(self, text: str) -> list[tuple[str, float]]:
-        """Templates with enough coverage, and the coverage of each; where spans overlap, the best only."""
+        """Templates with enough coverage, and the coverage of each; where spans overlap, the best only.
+
+        The best has the most aligned words less words of the template that are missing, so that a
+        longer sibling (a further clause, one more word in a name) is not lost to a shorter one.
+        """
         found = normal_words(text.encode())
         get = self.number.get
         known = [(i, k) for i, w in enumerate(found) if (k := get(w)) is not None]
@@ -161,23 +201,23 @@ class Scanner:
             for a, b in self._regions(place[self.member[number, t]], self.need[t], length):
                 pairs = align(found[a:b], self.words[t])
                 if len(pairs) >= self.need[t]:
-                    out.append((-len(pairs) / length, -length, self.names[t], a + pairs[0][0], a + pairs[-1][0]))
+                    out.append((length - 2 * len(pairs), -len(pairs) / length, self.names[t], a + pairs[0][0], a + pairs[-1][0]))
         taken: list[tuple[int, int]] = []
         best: dict[str, float] = {}
-        for share, _, name, a, b in sorted(out):
+        for _, share, name, a, b in sorted(out):
             if all(b < c or d < a for c, d in taken):
                 taken.append((a, b))
-                best.setdefault(name, -share)
+                best[name] = max(best.get(name, 0.0), -share)
         return sorted(best.items())
 
     @staticmethod
     def _regions(at: np.ndarray, need: int, length: int) -> list[tuple[int, int]]:
-        """Spans of text, at most ``SPREAD`` times as long as the template, with ``need`` of its words.
+        """Spans of text, ``SPREAD`` times as long as the template (and 4 words, unless it is very short), with ``need`` of its words.
 
         One for each start at a word of the template; a start inside a span with as many words
         or more that begins a quarter of the template earlier at most adds nothing.
         """
-        width = int(SPREAD * length) + 4
+        width = int(SPREAD * length) + (4 if length > 4 else 0)
         count = np.searchsorted(at, at + width) - np.arange(len(at))
         out, last, most = [], -width, 0
         for i in np.flatnonzero(count >= need).tolist():
@@ -192,8 +232,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """``doc_id, licenses, license, coverage`` for every row of ``docs``; no shuffle.
 
     ``licenses`` are the names of all templates with enough coverage in order, ``license`` the
-    one with the highest coverage (the longest, then the first by name, of equals) or null, and
-    ``coverage`` its share (0 for none).  A null text has no words.
+    one with the highest coverage (the longest, then the first by name, of equals; reserved rights
+    only where there is nothing else) or null, and ``coverage`` its share (0 for none).  A null
+    text has no words.
     """
     templates = templates or TEMPLATES
 
@@ -204,7 +245,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             listed, best, share = [], [], []
             for text in textcore.as_strings(batch.column("text")).to_pylist():
                 found = scanner.matches(text)
-                top = min(found, key=lambda m: (-m[1], -size[m[0]], m[0]), default=(None, 0.0))
+                top = min(found, key=lambda m: (m[0] in _RESERVED, -m[1], -size[m[0]], m[0]), default=(None, 0.0))
                 listed.append([n for n, _ in found])
                 best.append(top[0])
                 share.append(top[1])

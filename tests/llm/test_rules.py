@@ -92,6 +92,73 @@ def test_licenses(spark):
     assert licenses.license_scan(table(spark, [])).count() == 0
 
 
+GNU_HEADER = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the {1} as published by the Free"
+    " Software Foundation; either version {2} of the License, or (at your option) any later version.\n\nThis {0} is distributed"
+    " in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or"
+    " FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details."
+)
+BSD_CLAUSES = (
+    "Copyright (c) 2009 The Go Authors. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without"
+    " modification, are permitted provided that the following conditions are met:\n\n * Redistributions of source code must retain"
+    " the above copyright notice, this list of conditions and the following disclaimer.\n * Redistributions in binary form must"
+    " reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
+    " other materials provided with the distribution.\n"
+)
+ADVERTISING = (
+    " * All advertising materials mentioning features or use of this software must display the following acknowledgement: This"
+    " product includes software developed by the organization.\n"
+)
+NAMES = (
+    " * Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this"
+    " software without specific prior written permission.\n"
+)
+MPL_1 = (
+    'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file'
+    " except in compliance with the License. You may obtain a copy of the License at\nhttp://www.mozilla.org/MPL/\n\nSoftware"
+    ' distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied.'
+    " See the License for the specific language governing rights and limitations under the License."
+)
+MPL_2 = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+    " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("All rights reserved.", "all-rights-reserved-notice"),
+        (licenses.TEMPLATES["all-rights-reserved"], "all-rights-reserved"),
+        (GNU_HEADER.format("program", "GNU General Public License", "2"), "GPL-2.0"),
+        (GNU_HEADER.format("program", "GNU General Public License", "3"), "GPL-3.0"),
+        (GNU_HEADER.format("library", "GNU Library General Public License", "2"), "LGPL-2.0"),
+        (GNU_HEADER.format("library", "GNU Lesser General Public License", "2.1"), "LGPL-2.1"),
+        (GNU_HEADER.format("program", "GNU Lesser General Public License", "2.1"), "LGPL-2.1"),
+        (GNU_HEADER.format("library", "GNU Lesser General Public License", "3"), "LGPL-3.0"),
+        (GNU_HEADER.format("program", "GNU Affero General Public License", "3"), "AGPL-3.0"),
+        (BSD_CLAUSES, "BSD-2-Clause"),
+        (BSD_CLAUSES + NAMES.format("Google Inc."), "BSD-3-Clause"),
+        (BSD_CLAUSES + NAMES.format("the copyright holder").replace("prior ", ""), "BSD-3-Clause"),
+        (BSD_CLAUSES + ADVERTISING + NAMES.format("the organization"), "BSD-4-Clause"),
+        (MPL_1, "MPL-1.1"),
+        (MPL_2, "MPL-2.0"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-notice"),
+    ],
+)
+def test_license_siblings(text, name):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    found = dict(scanner.matches(f"{prose(random.Random(2), 50)}\n{text}\n{prose(random.Random(3), 50)}"))
+    assert set(found) - {name} <= ({"all-rights-reserved-notice"} if text.startswith("Copyright") else set())
+    assert found[name] > 0.95
+
+
+def test_reserved_rights_do_not_hide_a_license(spark):
+    text = BSD_CLAUSES.replace("distribution.", "package.")
+    row = licenses.license_scan(table(spark, [(1, text)])).first()
+    assert row.licenses == ["BSD-2-Clause", "all-rights-reserved-notice"] and row.license == "BSD-2-Clause" and row.coverage < 1
+
+
 SENTENCE = "This is a long enough sentence of the article that goes on for a while number {}."
 LAYOUTS = [
     "<html><body><nav><a href=/a>Menu</a></nav><article><h1>Head</h1>{}</article><footer>Foot</footer></body></html>",
