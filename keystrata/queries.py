@@ -234,6 +234,14 @@ def young_get(spark, sf_dir):
     return _show(found).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
 
 
+@_query()
+def young_get_all_keys(spark, sf_dir):
+    """``young_get`` for every key of the log, not only those below 500."""
+    keys = _table(spark, sf_dir, "events").select(codecs.long_be("user_id").alias("key"))
+    found = latest.young_get(runs(spark, sf_dir).where("level = 0"), keys)
+    return _show(found).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
+
+
 @_query(
     f"WITH {_M} SELECT k, v, level::INT AS level, gone AS deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, seq DESC) AS rn FROM m) WHERE rn = 1"
 )
@@ -251,6 +259,12 @@ def kway_merge(spark, sf_dir):
     return _show(latest.merge(some)).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
 
 
+@_query()
+def kway_merge_all_runs(spark, sf_dir):
+    """``kway_merge`` of every run, not only of four."""
+    return _show(latest.merge(runs(spark, sf_dir))).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
+
+
 @_query(f"{_N} SELECT k, v FROM n WHERE NOT gone")
 def merge_drops_tombstones(spark, sf_dir):
     return _show(latest.merge_final(runs(spark, sf_dir))).select("k", "v")
@@ -367,6 +381,19 @@ def trivial_moves(spark, sf_dir):
     return manifest.trivial_moves(r.where("level = 0"), r.where("level = 1 AND id % 2 = 0")).select("id", "level")
 
 
+@_query()
+def trivial_moves_all_runs(spark, sf_dir):
+    """``trivial_moves`` with all runs of level 1, over runs of up to 800 keys so that some have neighbours and some have none."""
+    o = _table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 400).cast("long").alias("id"))
+    r = o.agg(F.min("o_orderkey").alias("a"), F.pmod(F.sum("o_custkey"), F.lit(800)).alias("width")).select(
+        "id",
+        codecs.long_be("a").alias("min_key"),
+        codecs.long_be(F.col("a") + F.col("width")).alias("max_key"),
+        F.pmod("id", F.lit(3)).cast("int").alias("level"),
+    )
+    return manifest.trivial_moves(r.where("level = 0"), r.where("level = 1")).select("id", "level")
+
+
 @_query(f"WITH {_R} SELECT 'sstable_' || id AS path FROM r WHERE id % 4 = 1")
 def vacuum_candidates(spark, sf_dir):
     r = order_runs(spark, sf_dir)
