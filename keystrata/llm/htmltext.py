@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Elements of raw text end at their end tag, or where the head does; a title without end tag at the next tag.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|object|svg|math|head|select|canvas|audio|video)\b[^>]*(?<!/)>"
-    r".*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)\b[^>]*(?<!/)>[^<]*+(?:<(?!/\1\s*>|/head\s*>\s*<body\b)[^<]*+)*+(?:</\1\s*>)?"
+    r"|<title\b[^>]*(?<!/)>[^<]*+(?:(?:<(?!/title\s*>|/head\b|body\b|title\b)[^<]*+)*+</title\s*>)?"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)",
     re.S | re.I,
 )
+#: Elements that are left out from their tag to its end tag; one that is never closed is only its tag.
+_LEFT_OUT = {"noscript", "template", "iframe", "object", "svg", "math", "select", "canvas", "audio", "video"}
+_ANY_LEFT_OUT = re.compile(rf"<(?:{'|'.join(sorted(_LEFT_OUT))})\b", re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 #: Elements that hold other blocks, and those that are one block of text.
@@ -39,6 +43,9 @@ _BLOCK = {
 }
 #: Elements whose whole content is no article text.
 _APART = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "option"}
+#: Those of them that may stand around a whole page.
+_AROUND = {"form", "fieldset"}
+_CONTROLS = {"button", "label", "option"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 #: Words of classes, ids and roles that mark such content (fixed values).
 _MARKS = frozenset(
@@ -56,6 +63,21 @@ _DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Where the elements that are left out begin and end, for those with an end tag."""
+    ends: dict[int, int] = {}
+    started: dict[str, list[int]] = {}
+    for token in tokens:
+        name = (token[3] or "").lower()
+        if name in _LEFT_OUT:
+            if not token[2]:
+                if not token[4].endswith("/>"):
+                    started.setdefault(name, []).append(token.start())
+            elif started.get(name):
+                ends[started[name].pop()] = token.end()
+    return ends
+
+
 class Page:
     """Blocks of text of one page, each with the container that it is in.
 
@@ -64,12 +86,28 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self._read(source, _MARKS)
-        if not self.blocks:  # everything stands below a mark
-            self._read(source, frozenset())
-
-    def _read(self, source: str, marks: frozenset[str]) -> None:
-        self._marks = marks
+        self._tokens = list(_TOKEN.finditer(source))
+        self._ends = _ends(self._tokens) if _ANY_LEFT_OUT.search(source) else {}
+        self._read(source, _MARKS, _APART)
+        if not any(self._worth()):  # everything stands below a mark or an element apart
+            first = self.paths, self.parents, self.blocks
+            for ways in (((frozenset(), _APART), (_MARKS, _APART - _AROUND)), ((frozenset(), _APART - _AROUND),), ((frozenset(), _CONTROLS),)):
+                found = []
+                for marks, apart in ways:
+                    self._read(source, marks, apart)
+                    found.append((sum(self._worth()), (self.paths, self.parents, self.blocks)))
+                most, (self.paths, self.parents, self.blocks) = max(found, key=lambda x: x[0])
+                if most:
+                    return
+            self.paths, self.parents, self.blocks = first
+
+    def _worth(self) -> Iterator[int]:
+        """Characters of every block beyond those in links, which count against it as in ``scores``."""
+        for _, parts, linked, _ in self.blocks:
+            yield max(0, len(" ".join(_html.unescape("".join(parts)).split())) - 2 * linked)
+
+    def _read(self, source: str, marks: frozenset[str], apart: set[str]) -> None:
+        self._marks, self._apart = marks, apart
         self.paths: list[str] = []
         self.parents: list[int] = []
         self.blocks: list[list] = []
@@ -78,7 +116,9 @@ class Page:
 
     def _parse(self, source: str) -> None:
         at, links, open_block = 0, 0, False
-        for token in _TOKEN.finditer(source):
+        for token in self._tokens:
+            if token.start() < at:
+                continue  # inside an element that is left out
             if token.start() > at:
                 open_block = self._text(source[at : token.start()], links, open_block)
             at = token.end()
@@ -99,6 +139,8 @@ class Page:
             elif name == "br":
                 if open_block:
                     self.blocks[-1][1].append(" ")
+            elif name in _LEFT_OUT:
+                at = self._ends.get(token.start(), at)
             elif name in _CONTAINER or name in _BLOCK or name in _APART:
                 open_block, links = False, 0
                 self._open(name, token[4])
@@ -128,8 +170,8 @@ class Page:
     def _open(self, name: str, attributes: str) -> None:
         closes = _CLOSED_BY.get(name)
         if name != "span":
-            while self._stack and self._stack[-1][0] in ("p", "span", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self._stack.pop()  # a block ends an open paragraph
+            while self._stack and self._stack[-1][0] in ("p", "span", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
+                self._stack.pop()  # a block ends an open paragraph or option
             if closes and self._stack and self._stack[-1][0] in closes:
                 self._stack.pop()
         above, counts = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (self._root(), True)
@@ -151,7 +193,7 @@ class Page:
                 found = frozenset()
             if found == {"header"} and (inside or not _HEADLINE.isdisjoint(words)):
                 found = frozenset()  # the headline of the article
-            counts = not found and (name not in _APART or (name == "header" and inside))
+            counts = not found and (name not in self._apart or (name == "header" and inside))
         if name in _CONTAINER and name not in ("body",) and counts:
             self.paths.append(f"{self.paths[above]}/{label}")
             self.parents.append(above)

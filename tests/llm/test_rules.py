@@ -178,6 +178,32 @@ def test_main_text(layout):
     assert text.split("\n\n")[-3:] == want and "Menu" not in text and "like" not in text and "Share" not in text
 
 
+ARTICLE = f"<article><p>{SENTENCE.format(1)}</p><p>{SENTENCE.format(2)}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<!DOCTYPE html><html><head><title>x</title><body>{ARTICLE}",
+        f"<html><head><title>x</title><meta name=a><link rel=b><style>p{{}}</style>{ARTICLE}",
+        f"<head><title>x</head><body>{ARTICLE}<svg><title>y</title></svg>",
+        f"<head><title>x</title><style>p {{}}</head><body>{ARTICLE}",
+        f"<head><script>document.write('<body></head>')</script></head><body>{ARTICLE}",
+        *(f"<body><{tag} class=a>{ARTICLE}</body>" for tag in ("select", "object", "iframe", "video", "canvas", "svg", "audio", "template", "noscript")),
+        f"<body><select><option>one {ARTICLE}<select><option>No text of the page at all</select>",
+        f"<body><object>Other <object>words</object> that are left out here</object>{ARTICLE}",
+        f"<body><svg><text>Words of a drawing that are no text of the page</text></svg>{ARTICLE}",
+        f"<body><form id=aspnetForm action=/><input type=hidden><nav>Menu</nav>{ARTICLE}<div class=sidebar>{SENTENCE.format(3)}</div><footer>Foot</footer></form>",
+        f"<body><a href=#m>Skip to content</a><form>{ARTICLE}</form>&nbsp;</body>",
+        f"<body><div class=overlay><form>{ARTICLE}<button>Send</button></form></div></body>",
+        f"<body><aside>{ARTICLE}</aside></body>",
+        f"<body><div class=sidebar>{ARTICLE}</div><form>Find <input></form></body>",
+    ],
+)
+def test_pages_keep_their_article(page):
+    assert htmltext.extract(page, htmltext.vote(page)) == f"{SENTENCE.format(1)}\n\n{SENTENCE.format(2)}"
+
+
 def test_hosts_agree_on_a_path(spark):
     good = "<body><div class=story><p>{}</p><p>{}</p></div><div class=box><p>{}</p></div></body>"
     rows = [(i, f"https://www.Site.example:80/{i}", good.format(SENTENCE.format(i), SENTENCE.format(i), "Short box text with some words in it.")) for i in range(6)]
