@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm import exact, jaccard, packing, quality, secrets
@@ -21,14 +21,53 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+#: Stands for a null ``doc_id``: after all others.
+_NO_ID = 2**63 - 1
+
+
+def _shared_ids(docs: DataFrame) -> DataFrame:
+    """Ids (``doc_id``) that do not name one row: null and repeated ones."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL").select("doc_id")
+
+
+def _exact_by_text(docs: DataFrame) -> DataFrame:
+    """Of equal texts one row stays where ids do not name rows: rows go by id and text, and of those that share both one stays."""
+    own: dict[str, Column] = {"_own_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_own_sha": F.sha2(F.encode(exact._normal("text"), "UTF-8"), 256)}
+    ledger = exact.exact_dedup(docs.select(own["_own_id"].alias("doc_id"), "text")).where("group_size > 1")
+    said = ledger.groupBy(F.col("doc_id").alias("_own_id"), F.col("text_sha256").alias("_own_sha")).agg(
+        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
+    )
+    said = Scratch(docs.sparkSession, "pipeline-exact").keep(said.where("NOT _kept OR _n > 1"), "said")
+    whole = docs.withColumns(own)
+    rest = whole.join(said, list(own), "left_anti")
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.char_length("text").desc(), "text"))
+    again = whole.join(said.where("_kept"), list(own), "left_semi").withColumn("_rank", first).where("_rank = 1")
+    return rest.select(docs.columns).unionByName(again.select(docs.columns))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one row stays, also where rows share an id or have none."""
+    if not _shared_ids(docs).isEmpty():
+        return _exact_by_text(docs)
     gone = exact.exact_dedup(docs).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest ``doc_id`` stays."""
+    """Of linked documents the one with the smallest ``doc_id`` stays.
+
+    Rows that share an id or have none are compared under ids of their own (from id and text),
+    which come after all others; rows with the same id and text go to ``exact_stage`` first.
+    """
+    shared = _shared_ids(docs)
+    if not shared.isEmpty():
+        named = docs.join(shared.where("doc_id IS NOT NULL").withColumn("_shared", F.lit(True)), "doc_id", "left")
+        other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_NO_ID)).bitwiseOR(F.lit(2**62))
+        named = named.withColumn("_own_id", F.when(F.col("doc_id").isNull() | F.col("_shared"), other).otherwise(F.col("doc_id")))
+        named = Scratch(spark, "pipeline-near").keep(named, "named")
+        links = jaccard.jaccard_join(named.select(F.col("_own_id").alias("doc_id"), "text"))
+        gone = links.where("component_id <> doc_id").select(F.col("doc_id").alias("_own_id"))
+        return named.join(gone, "_own_id", "left_anti").select(docs.columns)
     gone = jaccard.jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -276,3 +276,19 @@ def test_pipeline_stages(spark):
         assert sorted((r.doc_id, r.text) for r in found) == want and all(r.n_chars == len(r.text) and r.sender == "own" for r in found)
         docs = out
     assert len(want) == 9 and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_pipeline_with_ids_that_repeat_or_are_null(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, a), (None, d), (None, d), (None, e), (4, e), (5, d + "  "), (6, "f " * 9), (6, "f " * 9 + " ")]
+    docs = table(spark, rows)
+    exact = corpus_pipeline.exact_stage(spark, docs, "").cache()
+    assert exact.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted([(1, a), (2, b), (3, c), (4, e), (5, d + "  "), (6, "f " * 9 + " ")])
+    edited = [x.replace(x.split()[30], "edited", 1) for x in (a, c)]
+    rows = [(1, a), (7, edited[0]), (7, b), (None, edited[1]), (8, c), (None, d)]
+    near = corpus_pipeline.near_stage(spark, table(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near) == sorted([(1, a), (7, b), (8, c), (0, d)])
