@@ -114,13 +114,13 @@ def _lowest(window: int, length: int, n_owners: int):
         out = _Batch(n_owners)
         for batch in batches:
             texts = textcore.as_strings(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for a, b in textcore.slices(texts):
                 part = texts.slice(a, b - a)
                 w = textcore.words(part)
                 top, _, chosen = selected(w, window, length)
                 at = np.flatnonzero(chosen)
-                own = ids.slice(a, b - a).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                own = keys.slice(a, b - a).to_numpy(zero_copy_only=False)
                 doc = w.doc_of_word()[at]
                 out.add(top[at], own[doc], at - w.first[doc])
                 sha = [hashlib.sha256(b" ".join(x.encode().split())).hexdigest() for x in part.to_pylist()]
@@ -232,13 +232,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """
     spark = docs.sparkSession
     scratch, n_owners = Scratch(spark, "substring"), owners(spark)
-    source = docs.select("doc_id", "text")
+    no_id = F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))  # names the text of a row without id
+    source = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("key"), "text")
     rungs = ladder(window)
     low = scratch.keep(
         source.mapInArrow(_lowest(window, rungs[0], n_owners), f"{_MESSAGE}, doc_id long, n_words long, sha string"), "rung0"
     )
     ledger = low.where("sender IS NULL").select("doc_id", "n_words", "sha")
-    messages, texts = low.where("sender IS NOT NULL"), source
+    messages, texts = low.where("sender IS NOT NULL"), source.select(F.col("key").alias("doc_id"), "text")
     for i, length in enumerate(rungs):
         alive = exchange.settle(
             messages.select("sender", "owner", "n", "keys", "repeats", "rank", "doc", "pos"),

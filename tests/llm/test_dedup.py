@@ -150,6 +150,14 @@ def test_substring_edges(spark):
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in rows) == [(-1, 40, 0), (1, 40, 40), (1, 40, 40), (2, 0, 0)]
 
 
+def test_passages_of_rows_without_id_count(spark):
+    rng = random.Random(5)
+    shared, other, copied = (prose(rng, n) for n in (45, 60, 50))
+    rows = [(None, f"{prose(rng, 80)} {shared} {prose(rng, 20)}"), (None, other), (None, copied), (None, copied), (1, f"{prose(rng, 30)} {shared}"), (2, f"{other} {prose(rng, 9)}"), (3, prose(rng, 70))]
+    got = substring.substring_dedup(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 50, 0), (0, 50, 0), (0, 60, 0), (0, 145, 0), (1, 75, 45), (2, 69, 60), (3, 70, 0)]
+
+
 def test_selected_windows_are_in_every_wanted_one():
     rng = random.Random(2)
     w = textcore.words(pa.array([" ".join(rng.choices("abcd", k=90)), prose(rng, 200), "a b"]))
