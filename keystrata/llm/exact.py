@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange, textcore
-from .scratch import Scratch, owners
+from .scratch import Scratch, owners, rows_with
 
 #: Code points that do not count when texts are compared.
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -120,30 +120,30 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
-    ``docs`` needs ``doc_id`` (unique) and ``text``; other columns are ignored.  Of equal
-    texts the one with most code points in the original stays, then the smallest ``doc_id``.
-    An empty table gives an empty result.  A null ``doc_id`` is kept as a group of its own.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Of equal texts the one
+    with most code points in the original stays, then the smallest ``doc_id``; of rows that repeat
+    an id and text one is kept.  An empty table gives an empty result.  A null ``doc_id`` is kept
+    as a group of its own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     source = docs.select("doc_id", "text")
-    ledger = scratch.keep(source.mapInArrow(_ledger(owners(spark)), _LEDGER), "ledger")
+    ledger = scratch.keep(source.mapInArrow(_ledger(owners(spark, source)), _LEDGER), "ledger")
     judged = scratch.keep(
         exchange.with_answers(ledger).mapInArrow(
             _judge, "doc_id long, chars long, text_sha256 string, suspect boolean"
         ),
         "judged",
     )
-    suspects = judged.where("suspect").select("doc_id")
-    texts = (
-        source.join(suspects, "doc_id", "left_semi")
-        .select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), _normal("text").alias("normal"))
-        .select("doc_id", "chars", "normal", F.xxhash64("normal").alias("fp"))
+    scratch.drop("ledger")
+    suspects = scratch.keep(judged.where("suspect AND doc_id IS NOT NULL").select("doc_id").distinct(), "suspects")
+    texts = rows_with(source, suspects).select(
+        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), _normal("text").alias("normal")
     )
-    best = F.max_by("doc_id", F.struct(F.col("chars"), -F.col("doc_id")))
-    groups = texts.groupBy("fp", "normal").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("last"))).alias("best")
+    groups = texts.groupBy(F.xxhash64("normal").alias("fp"), "normal").agg(best, F.count(F.lit(1)).alias("group_size"))
     groups = scratch.keep(
-        groups.select(F.sha2(F.encode("normal", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups"
+        groups.select(F.sha2(F.encode("normal", "UTF-8"), 256).alias("text_sha256"), F.bitwise_not("best.last").alias("keep_id"), "group_size"), "groups"
     )
     alone = judged.where("NOT suspect OR doc_id IS NULL").select(
         "doc_id",
@@ -152,9 +152,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    grouped = (
-        judged.where("suspect AND doc_id IS NOT NULL")
-        .join(groups, "text_sha256")
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-    )
-    return alone.unionByName(grouped)
+    grouped = judged.where("suspect AND doc_id IS NOT NULL").join(groups, "text_sha256")
+    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("chars").desc())) == 1
+    kept = grouped.where("doc_id = keep_id").withColumn("kept", first)
+    grouped = kept.unionByName(grouped.where("doc_id <> keep_id").withColumn("kept", F.lit(False)))
+    return alone.unionByName(grouped.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))

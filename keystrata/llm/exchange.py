@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Distinct keys after which a task closes a sender and begins another.
@@ -136,53 +137,51 @@ def sender_ids() -> Iterator[int]:
         at += 1
 
 
-MESSAGE = "sender long, owner int, n int, keys binary, repeats binary, `rank` binary"
+MESSAGE = "sender long, owner int, n int, m int, keys binary, fresh binary"
 
 
 def messages(sender: int, n_owners: int, keys: np.ndarray, payload: dict[str, np.ndarray]) -> pa.RecordBatch:
     """The rows of one sender: per owner the coded distinct keys and what lies behind them.
 
-    Occurrences stand in the order of their keys; ``rank`` has for each the place of its key
-    among the distinct ones (uint32), ``repeats`` one byte per distinct key: 1 if the sender
-    itself has it twice.  Every payload array becomes a binary column.
+    The ``m`` occurrences stand in the order of their ``n`` distinct keys; ``fresh`` has one bit for
+    each, set where another key begins.  Every payload array becomes a binary column.
     """
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     payload = {name: values[order] for name, values in payload.items()}
     cuts = deal(keys, n_owners)
-    columns: dict[str, list] = {name: [] for name in ("owner", "n", "keys", "repeats", "rank", *payload)}
+    columns: dict[str, list] = {name: [] for name in ("owner", "n", "m", "keys", "fresh", *payload)}
     for owner in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[owner], cuts[owner + 1]
         own = keys[a:b]
         fresh = np.ones(b - a, bool)
         fresh[1:] = own[1:] != own[:-1]
-        distinct = own[fresh]
-        rank = np.cumsum(fresh) - 1
         columns["owner"].append(owner)
-        columns["n"].append(len(distinct))
-        columns["keys"].append(rice_encode(distinct))
-        columns["repeats"].append((np.bincount(rank) > 1).astype(np.uint8).tobytes())
-        columns["rank"].append(rank.astype("<u4").tobytes())
+        columns["n"].append(int(fresh.sum()))
+        columns["m"].append(int(b - a))
+        columns["keys"].append(rice_encode(own[fresh]))
+        columns["fresh"].append(np.packbits(fresh).tobytes())
         for name, values in payload.items():
             columns[name].append(values[a:b].tobytes())
     n = len(columns["owner"])
     arrays = [pa.array([sender] * n, pa.int64())]
     for name, values in columns.items():
-        arrays.append(pa.array(values, pa.int32() if name in ("owner", "n") else pa.binary()))
+        arrays.append(pa.array(values, pa.int32() if name in ("owner", "n", "m") else pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["sender", *columns])
 
 
 def repeated(stored: pa.Table, answers: pa.Table, kinds: dict[str, str]) -> dict[str, np.ndarray]:
     """Of one sender's messages, the occurrences whose key is also elsewhere: ``key`` and payload."""
+    stored = stored.filter(pc.greater_equal(stored["owner"], 0))
     reply = dict(zip(answers["owner"].to_pylist(), answers["dup"].to_pylist(), strict=True))
     found: dict[str, list[np.ndarray]] = {name: [] for name in ("key", *kinds)}
-    columns = {name: stored[name].to_pylist() for name in ("owner", "n", "keys", "repeats", "rank", *kinds)}
+    columns = {name: stored[name].to_pylist() for name in ("owner", "n", "m", "keys", "fresh", *kinds)}
     for i, owner in enumerate(columns["owner"]):
-        again = bits(reply.get(owner), columns["n"][i]) | np.frombuffer(columns["repeats"][i], np.uint8).astype(bool)
-        if not again.any():
-            continue
-        rank = np.frombuffer(columns["rank"][i], "<u4")
+        rank = np.cumsum(bits(columns["fresh"][i], columns["m"][i])) - 1
+        again = bits(reply.get(owner), columns["n"][i]) | (np.bincount(rank, minlength=columns["n"][i]) > 1)
         hit = again[rank]
+        if not hit.any():
+            continue
         found["key"].append(rice_decode(columns["keys"][i])[rank[hit]])
         for name, kind in kinds.items():
             found[name].append(np.frombuffer(columns[name][i], kind)[hit])
@@ -193,7 +192,9 @@ def repeated(stored: pa.Table, answers: pa.Table, kinds: dict[str, str]) -> dict
 
 
 def settle(stored: DataFrame, run, schema: str) -> DataFrame:
-    """``run(messages, answers)`` for every sender; both are bounded by what a sender holds."""
-    return (
-        stored.groupBy("sender").cogroup(duplicates(stored).groupBy("sender")).applyInArrow(run, schema)
-    )
+    """``run(rows, answers)`` for every sender; both are bounded by what a sender holds.
+
+    Rows are its messages, and rows of its own with an ``owner`` below 0 that owners do not see.
+    """
+    answers = duplicates(stored.where("owner >= 0"))
+    return stored.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(run, schema)

@@ -12,77 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .scratch import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """``class, root`` for every class in ``links`` (``a, b``): the smallest class that is reachable.
-
-    Minimum labels spread along links and then jump to their label's label, until nothing
-    changes; every round is written to storage, so lineage stays short.
-    """
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = scratch.keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{tag}edges")
-    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root"))
-    labels = scratch.keep(labels, f"{tag}labels0")
-    turn = 0
-    while True:
-        turn += 1
-        around = edges.join(labels.select(F.col("u").alias("v"), F.col("root").alias("r")), "v")
-        around = around.groupBy("u").agg(F.min("r").alias("m"))
-        lower = labels.join(around, "u").select("u", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        target = lower.select(F.col("u").alias("root"), F.col("root").alias("next"))
-        jumped = lower.join(target, "root", "left").select(
-            "u", "old", F.least("root", F.coalesce("next", "root")).alias("root")
-        )
-        jumped = scratch.keep(jumped, f"{tag}labels{turn}")
-        if jumped.where("old <> root").limit(1).count() == 0:
-            return jumped.select(F.col("u").alias("class"), "root")
-        labels = jumped.select("u", "root")
-        scratch.drop(f"{tag}labels{turn - 1}")
+def linked_classes(engine: setjoin.Engine) -> DataFrame:
+    """``class, root`` of all classes that are linked with another one."""
+    lists = engine.scratch.keep(engine.lists(), "lists")
+    keys = setjoin.join_keys(lists, setjoin.subset_boundary(lists))
+    return setjoin.components(engine.links(keys, "forest"), engine.scratch, "all")
 
 
-def linked_classes(engine: setjoin.Engine) -> tuple[DataFrame, DataFrame]:
-    """All links that the components need, and the components, of classes.
-
-    First every class meets the head of its keys.  Where a key still has classes of several
-    components, those outside its largest component are compared with the others of the key in blocks
-    (:meth:`.setjoin.Engine.rest`).
-    """
-    boundary = setjoin.subset_boundary(engine.alive)
-    keys = engine.scratch.keep(setjoin.join_keys(engine.alive, boundary), "keys")
-    head = F.min(F.struct("class", "size", "rank")).alias("head")  # the smallest digest: any class, the same for all keys of a group
-    heads = keys.groupBy("key").agg(head, F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = engine.verify(engine.likely(engine.pairs(setjoin.star(keys, heads))))
-    roots = components(links, engine.scratch, "star")
-    wide = heads.where("n > 2").select("key", "n", F.col("head.class").alias("head_class"))
-    rooted = keys.join(wide, "key").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    members = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    split = (
-        members.groupBy("key")
-        .agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
-        .where("roots > 1")
-        .select("key", "largest")
+def component_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, c1, c2, root1, root2``: every row with its class and its component (null without words or id)."""
+    engine = setjoin.Engine(docs, "jaccard")
+    roots = linked_classes(engine).select(
+        F.col("class.c1").alias("c1"), F.col("class.c2").alias("c2"), F.col("root.c1").alias("r1"), F.col("root.c2").alias("r2")
+    )
+    return engine.ledger.join(roots, ["c1", "c2"], "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), "c1", "c2", F.coalesce("r1", "c1").alias("root1"), F.coalesce("r2", "c2").alias("root2")
     )
-    rows = rooted.join(split, "key").where("class <> head_class")
-    rows = rows.select("key", "n", "class", "size", "rank", F.col("root").alias("tag"), (F.col("root") == F.col("largest")).alias("main"))
-    rows = engine.scratch.keep(rows.withColumn("unsettled", ~F.col("main")), "open")
-    more = engine.verify(engine.likely(engine.rest(rows, "differ")))
-    links = links.unionByName(more)
-    return links, components(links, engine.scratch, "all")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Documents link when 100 * common >= 80 * united of their sets of lower-cased five-word
-    shingles.  Without words (or text) a set is empty and linked with nothing.  ``doc_id``
-    identifies the text; a row without one is returned alone with a null ``component_id``.
+    shingles.  Without words (or text) a set is empty and linked with nothing.  Rows that repeat
+    an id are judged by their own texts: each has the smallest id that it reaches, so two
+    components may bear the same id.  A row without ``doc_id`` is returned alone with a null
+    ``component_id``.  An empty table gives an empty result; other columns are ignored.
     """
-    engine = setjoin.Engine(docs, "jaccard")
-    _, roots = linked_classes(engine)
-    rows = engine.ledger.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+    rows = component_rows(docs)
+    least = rows.where("root1 IS NOT NULL").groupBy("root1", "root2").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, ["root1", "root2"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     )

@@ -171,7 +171,8 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None, keep_columns: b
     limits = limits or Limits()
     names = [f.split()[0] for f in _FIELDS.split(",")]
     carried = [c for c in docs.columns if c not in names] if keep_columns else ["doc_id"]
-    source = docs.select(*{*carried, "text", "doc_id"})
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    source = docs.select(*(quoted(c) for c in dict.fromkeys([*carried, "text", "doc_id"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +182,15 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None, keep_columns: b
                 yield pa.RecordBatch.from_arrays(own + measure(texts.slice(a, b - a), limits), names=carried + names)
 
     reach(docs.sparkSession)
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried)
+    schema = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in carried)
     return source.mapInArrow(run, f"{schema}, {_FIELDS}")
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns as they are."""
+    """The rows of ``docs`` that the rules keep, with all their columns as they are.
+
+    Null and empty texts have no words and go; repeated rows share a verdict; an empty table stays empty.
+    """
     limits = limits or Limits()
     kept_at = [f.split()[0] for f in _FIELDS.split(",")].index("kept")
 

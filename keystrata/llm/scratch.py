@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
-import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
 
 def root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (as in tests) one is set."""
+    """The shared folder that the session names; without one there is nowhere safe to write."""
     where = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='keystrata-')}"
-        spark.conf.set(_SETTING, where)
+        raise ValueError(f"{_SETTING} is not set: name a folder that all executors share")
     return where.rstrip("/")
 
 
+#: Folders of this process that have not been removed.
+_OPEN: dict[str, SparkSession] = {}
+
+
+def sweep(spark: SparkSession, *but: Scratch) -> None:
+    """Delete the working tables of all operators of this session but ``but``.
+
+    For callers whose results have been written: a result that is still to be computed reads them.
+    """
+    for base in [b for b, s in _OPEN.items() if s is spark and b not in {x.base for x in but}]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _OPEN[base]
+
+
 class Scratch:
     """Tables of one operator run below :func:`root`.
 
@@ -32,6 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+        _OPEN[self.base] = spark
         reach(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +72,39 @@ def reach(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
 
 
-def owners(spark: SparkSession) -> int:
-    """Into how many ranges hashed keys are dealt: as many as the session's shuffles have."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input (as Catalyst estimates them) behind the keys of one owner.
+OWNER_BYTES = 64 << 20
+
+
+def owners(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Into how many ranges hashed keys are dealt: with the size of the input, and not fewer than shuffles have partitions.
+
+    An owner holds the keys of its range at once, so their number has to grow with the input.
+    """
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return least
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // OWNER_BYTES)) if size < 1 << 55 else least  # else Catalyst does not know the size
+
+
+#: Most ids that are broadcast as they are, and most buckets of ids (each one long) where there are more.
+BROADCAST_IDS, BROADCAST_BUCKETS = 10_000, 1 << 20
+
+
+def rows_with(docs: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """``docs`` beside the rows of ``wanted`` (a stored table, one row per key, ``doc_id`` by default) that have the same key.
+
+    Few wanted rows are broadcast, counted before.  Of more, the buckets of their hashed keys
+    are broadcast, a bounded table without false negatives, so that mostly wanted rows are shuffled.
+    """
+    on = list(key or ("doc_id",))
+    n = wanted.count()
+    if n <= BROADCAST_IDS:
+        return docs.join(F.broadcast(wanted), on)
+    if n < 2 * BROADCAST_BUCKETS:
+        m = min(BROADCAST_BUCKETS, 1 << math.ceil(math.log2(8 * n)))
+        bucket: Column = F.pmod(F.xxhash64(*on), F.lit(m)).alias("_bucket")
+        some = wanted.select(bucket).distinct()
+        docs = docs.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
+    return docs.join(wanted, on)

@@ -7,8 +7,11 @@ nothing is lost, at a fraction of the positions.  A rung's windows that occur tw
 extended to the next length; those that occur once drop out.  The ladder ends at the wanted
 length or when no candidate survives.
 
-Counting is done by the hash exchange, with keys of 64 bits at each rung: what is removed has
-agreed in the hash of its lower window and in its own.  Both come from the same word hashes.
+Counting is done by the hash exchange, with keys of 64 bits at each rung.  The last rung hashes
+words by another function than the rungs below, so what is removed has agreed in two independent hashes.
+
+A row is known by its ``doc_id`` and the hash of its text, so that positions of one text are never
+applied to another with the same id.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, textcore
-from .scratch import Scratch, owners
+from .scratch import Scratch, owners, rows_with
 
 WINDOW = 35
 
@@ -70,23 +74,36 @@ class _Batch:
 
     def __init__(self, n_owners: int):
         self.ids, self.n_owners = exchange.sender_ids(), n_owners
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self._clear()
 
-    def add(self, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
-        self.held.append((keys, doc, pos.astype("<u4")))
+    def _clear(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.n_docs = 0
+
+    def add(self, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> None:
+        """``doc`` is the place of a key's document in ``ids`` and ``hashes``."""
+        busy, place = np.unique(doc, return_inverse=True)
+        self.held.append((keys, (self.n_docs + place).astype("<u4"), pos.astype("<u4")))
+        self.docs.append((ids[busy], hashes[busy]))
         self.size += len(keys)
+        self.n_docs += len(busy)
 
-    def take(self, least: int = 1) -> pa.RecordBatch | None:
+    def take(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """A listing of the sender's documents (owner -1), and its messages."""
         if self.size < least:
-            return None
+            return
+        sender = next(self.ids)
+        ids, hashes = (np.concatenate(x).astype("<i8").tobytes() for x in zip(*self.docs, strict=True))
+        columns = {"sender": pa.array([sender], pa.int64()), "owner": pa.array([-1], pa.int32()), "docs": pa.array([ids]), "hashes": pa.array([hashes])}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         keys, doc, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
-        return exchange.messages(next(self.ids), self.n_owners, keys, {"doc": doc, "pos": pos})
+        yield exchange.messages(sender, self.n_owners, keys, {"doc": doc, "pos": pos})
+        self._clear()
 
 
-_MESSAGE = f"{exchange.MESSAGE}, doc binary, pos binary"
-_KINDS = {"doc": "<i8", "pos": "<u4"}
+_MESSAGE = f"{exchange.MESSAGE}, doc binary, pos binary, docs binary, hashes binary"
+_KINDS = {"doc": "<u4", "pos": "<u4"}
 
 
 def _as(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
@@ -98,13 +115,13 @@ def _as(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _schema(extra: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    base = [("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32())]
-    base += [(x, pa.binary()) for x in ("keys", "repeats", "rank", "doc", "pos")]
+    base = [("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("m", pa.int32())]
+    base += [(x, pa.binary()) for x in ("keys", "fresh", "doc", "pos", "docs", "hashes")]
     return pa.schema(base + extra)
 
 
-_LOW = _schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
-_NEXT = _schema([("doc_id", pa.int64()), ("text", pa.string())])
+_LOW = _schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
+_NEXT = _schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("text", pa.string())])
 
 
 def _lowest(window: int, length: int, n_owners: int):
@@ -114,23 +131,24 @@ def _lowest(window: int, length: int, n_owners: int):
         out = _Batch(n_owners)
         for batch in batches:
             texts = textcore.as_strings(batch.column("text"))
-            ids, keys = batch.column("doc_id"), batch.column("key")
+            ids, keys = batch.column("doc_id"), batch.column("key").to_numpy(zero_copy_only=False)
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False)
             for a, b in textcore.slices(texts):
                 part = texts.slice(a, b - a)
                 w = textcore.words(part)
                 top, _, chosen = selected(w, window, length)
                 at = np.flatnonzero(chosen)
-                own = keys.slice(a, b - a).to_numpy(zero_copy_only=False)
                 doc = w.doc_of_word()[at]
-                out.add(top[at], own[doc], at - w.first[doc])
+                out.add(top[at], doc, at - w.first[doc], keys[a:b], hashes[a:b])
                 sha = [hashlib.sha256(b" ".join(x.encode().split())).hexdigest() for x in part.to_pylist()]
                 ledger = pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(w.count, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "sha"]
+                    [ids.slice(a, b - a), pa.array(hashes[a:b]), pa.array(w.count, pa.int64()), pa.array(sha)],
+                    names=["doc_id", "hash", "n_words", "sha"],
                 )
                 yield _as(ledger, _LOW)
-                if rows := out.take(exchange.SENDER_KEYS):
+                for rows in out.take(exchange.SENDER_KEYS):
                     yield _as(rows, _LOW)
-        if rows := out.take():
+        for rows in out.take():
             yield _as(rows, _LOW)
 
     return run
@@ -139,12 +157,15 @@ def _lowest(window: int, length: int, n_owners: int):
 def _survivors(stored: pa.Table, answers: pa.Table) -> pa.Table:
     """Per document of a sender the sorted starts of its repeated windows."""
     found = exchange.repeated(stored, answers, _KINDS)
+    listing = stored.filter(pc.less(stored["owner"], 0))
+    ids, hashes = (np.frombuffer(listing[c].to_pylist()[0], "<i8") for c in ("docs", "hashes"))
     order = np.lexsort((found["pos"], found["doc"]))
     doc, pos = found["doc"][order], found["pos"][order]
     begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    end = np.append(begin[1:], len(doc))
+    end = np.append(begin[1:], len(doc))[: len(begin)]
     starts = [pos[a:b].astype("<u4").tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(doc[begin], pa.int64()), "starts": pa.array(starts, pa.binary())})
+    own = doc[begin]
+    return pa.table({"doc_id": pa.array(ids[own]), "hash": pa.array(hashes[own]), "starts": pa.array(starts, pa.binary())})
 
 
 def _extend(window: int, low: int, length: int, n_owners: int, lowest: bool):
@@ -155,7 +176,7 @@ def _extend(window: int, low: int, length: int, n_owners: int, lowest: bool):
         for batch in batches:
             texts = textcore.as_strings(batch.column("text"))
             starts = batch.column("starts").to_pylist()
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "hash"))
             for a, b in textcore.slices(texts):
                 part = texts.slice(a, b - a)
                 w = textcore.words(part)
@@ -181,15 +202,17 @@ def _extend(window: int, low: int, length: int, n_owners: int, lowest: bool):
                     inside = np.cumsum(spread[:-1]) > 0
                 at = np.flatnonzero(inside & (w.left_in_doc() >= length))
                 doc = w.doc_of_word()[at]
-                out.add(textcore.window_hash(w.hash, at, length), ids[a:b][doc], at - w.first[doc])
+                other = textcore.words(part, which=1).hash if length == window else w.hash
+                keys = textcore.window_hash(other, at, length, int(length == window))
+                out.add(keys, doc, at - w.first[doc], ids[a:b], hashes[a:b])
                 busy = np.bincount(doc, minlength=b - a) > 0
                 kept = pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), part.cast(pa.string())], names=["doc_id", "text"]
+                    [pa.array(ids[a:b]), pa.array(hashes[a:b]), part.cast(pa.string())], names=["doc_id", "hash", "text"]
                 ).filter(pa.array(busy))
                 yield _as(kept, _NEXT)
-                if rows := out.take(exchange.SENDER_KEYS):
+                for rows in out.take(exchange.SENDER_KEYS):
                     yield _as(rows, _NEXT)
-        if rows := out.take():
+        for rows in out.take():
             yield _as(rows, _NEXT)
 
     return run
@@ -214,8 +237,8 @@ def _cut(window: int, with_text: bool):
                 sha.append(hashlib.sha256(kept).hexdigest())
                 spans.append(kept.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_removed", "sha_kept", "kept_text"],
+                [batch.column("doc_id"), batch.column("hash"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())],
+                names=["doc_id", "hash", "n_removed", "sha_kept", "kept_text"],
             )
 
     return run
@@ -225,46 +248,47 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs``.
 
     A word goes if some ``window``-word run over it also starts anywhere else in the table.
-    Null texts have no words.  ``doc_id`` names a text: rows that repeat an id and text count as
-    occurrences of their own.  Rows without a ``doc_id`` count as occurrences too but are
-    returned whole.  With ``with_text``, ``kept_text`` has the kept words joined by one space
-    for documents that lost some (null: nothing was removed).
+    Null texts have no words.  Rows that repeat an id are judged by their own texts; rows that
+    repeat an id and text count as occurrences of their own.  Rows without a ``doc_id`` count as
+    occurrences too but are returned whole.  An empty table gives an empty result.  With
+    ``with_text``, ``kept_text`` has the kept words joined by one space for documents that lost
+    some (null: nothing was removed).
     """
     spark = docs.sparkSession
-    scratch, n_owners = Scratch(spark, "substring"), owners(spark)
-    no_id = F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))  # names the text of a row without id
-    source = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("key"), "text")
+    scratch, n_owners = Scratch(spark, "substring"), owners(spark, docs.select("text"))
+    no_id = F.lit(-1).cast("long")  # rows without id are told apart by the hashes of their texts
+    source = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("key"), F.xxhash64("text").alias("hash"), "text")
     rungs = ladder(window)
     low = scratch.keep(
-        source.mapInArrow(_lowest(window, rungs[0], n_owners), f"{_MESSAGE}, doc_id long, n_words long, sha string"), "rung0"
+        source.mapInArrow(_lowest(window, rungs[0], n_owners), f"{_MESSAGE}, doc_id long, hash long, n_words long, sha string"), "rung0"
     )
-    ledger = low.where("sender IS NULL").select("doc_id", "n_words", "sha")
-    messages, texts = low.where("sender IS NOT NULL"), source.select(F.col("key").alias("doc_id"), "text")
+    ledger = low.where("sender IS NULL").select("doc_id", "hash", "n_words", "sha")
+    messages, texts = low.where("sender IS NOT NULL"), source.select(F.col("key").alias("doc_id"), "hash", "text")
     for i, length in enumerate(rungs):
         alive = exchange.settle(
-            messages.select("sender", "owner", "n", "keys", "repeats", "rank", "doc", "pos"),
+            messages.select("sender", "owner", "n", "m", "keys", "fresh", "doc", "pos", "docs", "hashes"),
             _survivors,
-            "doc_id long, starts binary",
+            "doc_id long, hash long, starts binary",
         )
-        alive = scratch.keep(alive, f"alive{i}").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+        alive = alive.groupBy("doc_id", "hash").agg(F.collect_list("starts").alias("starts"))
+        alive = scratch.keep(alive, f"alive{i}")
         if length == window:
             break
         step = _extend(window, length, rungs[i + 1], n_owners, i == 0)
-        found = texts.join(alive, "doc_id").mapInArrow(step, f"{_MESSAGE}, doc_id long, text string")
+        found = rows_with(texts, alive, "doc_id", "hash").mapInArrow(step, f"{_MESSAGE}, doc_id long, hash long, text string")
         found = scratch.keep(found, f"rung{i + 1}")
         scratch.drop(*([f"rung{i}"] if i else []), f"alive{i}")
-        messages, texts = found.where("sender IS NOT NULL"), found.where("sender IS NULL").select("doc_id", "text")
-    changed = texts.join(alive, "doc_id").mapInArrow(
-        _cut(window, with_text), "doc_id long, n_removed long, sha_kept string, kept_text string"
+        messages, texts = found.where("sender IS NOT NULL"), found.where("sender IS NULL").select("doc_id", "hash", "text")
+    changed = texts.join(alive, ["doc_id", "hash"]).mapInArrow(
+        _cut(window, with_text), "doc_id long, hash long, n_removed long, sha_kept string, kept_text string"
     )
-    changed = changed.dropDuplicates(["doc_id"])  # rows that repeat an id
+    changed = changed.dropDuplicates(["doc_id", "hash"])  # rows that repeat an id and text
     if not with_text:
         changed = changed.drop("kept_text")
-    out = ledger.join(changed, "doc_id", "left").select(
+    return ledger.join(changed, ["doc_id", "hash"], "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("sha_kept", "sha").alias("kept_sha256"),
         *(["kept_text"] if with_text else []),
     )
-    return out

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; bounds the memory of a Python worker.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
