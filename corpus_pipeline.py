@@ -13,16 +13,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm import exact, jaccard, packing, quality, secrets
-from keystrata.llm.scratch import Scratch
+from keystrata.llm.scratch import Scratch, sweep
+
+
+def _plain(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with its columns numbered (``_0, _1, ...``), so that none has a name that a stage uses, beside ``own`` columns."""
+    named = [F.col(_quoted(c)).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*named, *(F.col(c).alias(f"own_{c}") for c in own))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _named(rows: DataFrame, like: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(like.columns)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Each row is judged by its own text: null and empty texts have no words and go, very long ones
+    are judged whole, repeated rows share a verdict, an empty table stays empty, other columns stay as they are.
+    """
     return quality.keep_good(docs)
 
 
-#: Stands for a null ``doc_id``: after all others.
-_NO_ID = 2**63 - 1
+#: Largest ``doc_id``.
+_LAST = 2**63 - 1
 
 
 def _shared_ids(docs: DataFrame) -> DataFrame:
@@ -30,62 +48,87 @@ def _shared_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL").select("doc_id")
 
 
-def _exact_by_text(docs: DataFrame) -> DataFrame:
-    """Of equal texts one row stays where ids do not name rows: rows go by id and text, and of those that share both one stays."""
-    own: dict[str, Column] = {"_own_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_own_sha": F.sha2(F.encode(exact._normal("text"), "UTF-8"), 256)}
-    ledger = exact.exact_dedup(docs.select(own["_own_id"].alias("doc_id"), "text")).where("group_size > 1")
-    said = ledger.groupBy(F.col("doc_id").alias("_own_id"), F.col("text_sha256").alias("_own_sha")).agg(
-        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
+def _sha(text: str) -> Column:
+    return F.sha2(F.encode(exact._normal(text), "UTF-8"), 256)
+
+
+def _own_rows(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with one row for each id and text, and ``id, text`` for an operator, both stored.
+
+    Ids that are null or shared give way to ids from id and text that come after all others.
+    Of rows with the same id and text one stays.
+    """
+    shared = _shared_ids(docs).withColumn("own_shared", F.lit(True))
+    rows = _plain(docs, "doc_id", "text").join(shared.select(F.col("doc_id").alias("own_doc_id"), "own_shared"), "own_doc_id", "left")
+    other = F.xxhash64("own_doc_id", "own_text").bitwiseAND(F.lit(_LAST)).bitwiseOR(F.lit(2**62))
+    odd = F.col("own_doc_id").isNull() | F.coalesce("own_shared", F.lit(False))
+    rows = rows.withColumn("own_id", F.when(odd, other).otherwise(F.col("own_doc_id")))
+    rows = Scratch(spark, name).keep(rows, "rows")
+    again = F.row_number().over(Window.partitionBy("own_id", F.xxhash64("own_text")).orderBy(F.lit(1))) == 1
+    rows = rows.where("own_shared IS NULL AND own_doc_id IS NOT NULL").unionByName(
+        rows.where("own_shared OR own_doc_id IS NULL").withColumn("own_first", again).where("own_first").drop("own_first")
     )
-    said = Scratch(docs.sparkSession, "pipeline-exact").keep(said.where("NOT _kept OR _n > 1"), "said")
-    whole = docs.withColumns(own)
-    rest = whole.join(said, list(own), "left_anti")
-    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.char_length("text").desc(), "text"))
-    again = whole.join(said.where("_kept"), list(own), "left_semi").withColumn("_rank", first).where("_rank = 1")
-    return rest.select(docs.columns).unionByName(again.select(docs.columns))
+    return rows, rows.select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, also where rows share an id or have none."""
-    if not _shared_ids(docs).isEmpty():
-        return _exact_by_text(docs)
-    gone = exact.exact_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row stays: the one with most code points, then the smallest ``doc_id``.
+
+    Rows, not ids, go: where ids repeat or are null (a null one comes last), rows are told apart by id
+    and text; of rows that share both one stays.  Null and empty texts are equal.  Very long texts are compared whole, an empty table stays empty, other columns stay as they are.
+    """
+    if _shared_ids(docs).isEmpty():
+        gone = exact.exact_dedup(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("own_doc_id"))
+        return _named(_plain(docs, "doc_id").join(gone, "own_doc_id", "left_anti"), docs)
+    rows = _plain(docs, "doc_id", "text").withColumns({"own_id": F.coalesce("own_doc_id", F.lit(_LAST)), "own_sha": _sha("own_text")})
+    ledger = exact.exact_dedup(rows.select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"))).where("group_size > 1")
+    said = ledger.groupBy(F.col("doc_id").alias("own_id"), F.col("text_sha256").alias("own_sha")).agg(
+        F.max("kept").alias("own_kept"), F.count(F.lit(1)).alias("own_n")
+    )
+    said = Scratch(spark, "pipeline-exact").keep(said.where("NOT own_kept OR own_n > 1"), "said")
+    rest = rows.join(said, ["own_id", "own_sha"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("own_id", "own_sha").orderBy(F.char_length("own_text").desc(), "own_text"))
+    again = rows.join(said.where("own_kept"), ["own_id", "own_sha"], "left_semi").withColumn("own_rank", first).where("own_rank = 1")
+    return _named(rest, docs).unionByName(_named(again, docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest ``doc_id`` stays.
 
-    Rows that share an id or have none are compared under ids of their own (from id and text),
-    which come after all others; rows with the same id and text go to ``exact_stage`` first.
+    Rows, not ids, go: rows whose ids repeat or are null are compared under ids of their own that come
+    after all others; of rows with the same id and text one stays.  Texts without words are linked with nothing and stay.
+    Very long texts are compared whole, an empty table stays empty, other columns stay as they are.
     """
-    shared = _shared_ids(docs)
-    if not shared.isEmpty():
-        named = docs.join(shared.where("doc_id IS NOT NULL").withColumn("_shared", F.lit(True)), "doc_id", "left")
-        other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_NO_ID)).bitwiseOR(F.lit(2**62))
-        named = named.withColumn("_own_id", F.when(F.col("doc_id").isNull() | F.col("_shared"), other).otherwise(F.col("doc_id")))
-        named = Scratch(spark, "pipeline-near").keep(named, "named")
-        links = jaccard.jaccard_join(named.select(F.col("_own_id").alias("doc_id"), "text"))
-        gone = links.where("component_id <> doc_id").select(F.col("doc_id").alias("_own_id"))
-        return named.join(gone, "_own_id", "left_anti").select(docs.columns)
-    gone = jaccard.jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if _shared_ids(docs).isEmpty():
+        gone = jaccard.jaccard_join(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("own_doc_id"))
+        return _named(_plain(docs, "doc_id").join(gone, "own_doc_id", "left_anti"), docs)
+    rows, own = _own_rows(spark, docs, "pipeline-near")
+    gone = jaccard.jaccard_join(own).where("component_id <> doc_id").select(F.col("doc_id").alias("own_id"))
+    return _named(rows.join(gone, "own_id", "left_anti"), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced; ``n_chars``, where there is one, follows the text."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scanned = secrets.scan(whole)
-    new = {"text": F.col("redacted")}
-    if "n_chars" in docs.columns:
+    """Secrets in texts are replaced; ``n_chars``, where there is one, follows the text.
+
+    Every row stays.  Null texts stay null, repeated rows are changed alike, very long texts are scanned
+    whole, an empty table stays empty, other columns stay as they are.
+    """
+    rows = secrets.scan(_plain(docs, "text").withColumnRenamed("own_text", "text"))
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    new = {place["text"]: F.col("redacted")}
+    if "n_chars" in place:
         changed = F.char_length("redacted").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.size("findings") > 0, changed).otherwise(F.col("row.n_chars"))
-    return scanned.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+        new[place["n_chars"]] = F.when(F.size("findings") > 0, changed).otherwise(F.col(place["n_chars"]))
+    return rows.select(*(new.get(at, F.col(at)).alias(c) for c, at in place.items()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents in training sequences (columns of ``packing.pack``).
+
+    Null texts count as empty and give their end mark; very long ones are cut into pieces;
+    repeated rows are packed each; an empty table gives an empty result; other columns are left out.
+    """
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -105,6 +148,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        sweep(spark, scratch)  # the working tables of the stage
     return docs
 
 
