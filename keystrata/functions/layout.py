@@ -34,33 +34,25 @@ def place(position: int, data: int) -> tuple[int, int, int]:
     return position, 1 + more, position + room + rest + HEADER * more
 
 
-_START = f"(CASE WHEN {BLOCK} - s.end % {BLOCK} < {HEADER} THEN s.end + {BLOCK} - s.end % {BLOCK} ELSE s.end END)"
-
-
 def log_layout(records: DataFrame, file: str = "file", order: str = "seq", data: str = "bytes") -> DataFrame:
     """``file, order, start, fragments, end`` of every record, by a fold over each file.
 
-    A file is bounded by the rotation limit, so its records fit into one array.
+    A file is bounded by the rotation limit, so its records fit into one task.
     """
-    start = _START
-    room = f"({BLOCK} - {start} % {BLOCK})"
-    rest = f"(x.d - ({room} - {HEADER}))"
-    more = f"cast(ceil({rest} / {float(BLOCK - HEADER)}D) as bigint)"
-    fits = f"x.d <= {room} - {HEADER}"
-    step = (
-        f"(s, x) -> named_struct('end', CASE WHEN {fits} THEN {start} + {HEADER} + x.d"
-        f" ELSE {start} + {room} + {rest} + {HEADER} * {more} END,"
-        f" 'rows', concat(s.rows, array(named_struct('o', x.o, 'start', {start},"
-        f" 'fragments', CASE WHEN {fits} THEN 1L ELSE 1L + {more} END,"
-        f" 'end', CASE WHEN {fits} THEN {start} + {HEADER} + x.d ELSE {start} + {room} + {rest} + {HEADER} * {more} END))))"
-    )
-    zero = "named_struct('end', 0L, 'rows', cast(array() as array<struct<o:bigint,start:bigint,fragments:bigint,end:bigint>>))"
-    listed = records.groupBy(file).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(data).cast("long").alias("d")))).alias("xs")
-    )
-    return listed.select(file, F.explode(F.expr(f"aggregate(xs, {zero}, {step}).rows")).alias("r")).select(
-        file, F.col("r.o").alias(order), F.col("r.start").alias("start"), F.col("r.fragments").alias("fragments"), F.col("r.end").alias("end")
-    )
+    import pyarrow as pa
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        at, placed = 0, []
+        for n in table[data].to_pylist():
+            start, fragments, at = place(at, n)
+            placed.append((start, fragments, at))
+        columns = [pa.array(c, pa.int64()) for c in zip(*placed, strict=True)]
+        return pa.table({file: table[file], order: table[order], "start": columns[0], "fragments": columns[1], "end": columns[2]})
+
+    rows = records.select(file, F.col(order).cast("long").alias(order), F.col(data).cast("long").alias(data))
+    kind = rows.schema[file].dataType.simpleString()
+    return rows.groupBy(file).applyInArrow(fold, f"`{file}` {kind}, `{order}` long, start long, fragments long, `end` long")
 
 
 def split_by_bytes(rows: DataFrame, group: str, order: str, data: str, limit: int, at_least: bool = True) -> DataFrame:

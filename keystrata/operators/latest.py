@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.shared import keep
+
 PUT, DELETE = "put", "delete"
 
 
@@ -78,19 +80,26 @@ def scan(mutations: DataFrame, low: bytes | None = None, high: bytes | None = No
     return live(inside).orderBy("key")
 
 
+#: Bits of ``monotonically_increasing_id`` that count rows within a partition.
+_ROW_BITS = 33
+
+
 def positions(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
-    """Rows numbered from 1 in the order of columns, without gathering them in one task.
+    """Rows numbered from 1 in the order of columns (without any: in some order), without gathering them in one task.
 
-    Rows are range-partitioned and numbered per partition; counts of the partitions (one row
-    each) give the offsets.
+    Rows are range-partitioned, sorted within partitions and written once with the place of each in
+    its partition.  Counts and rows are both read from that table: partitioning twice would sample
+    two sets of bounds, and the offsets of one do not fit the rows of the other.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    stored = keep(dealt.withColumn("_id", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_id", _ROW_BITS).alias("_part")
+    counts = stored.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop(
-        "_part", "_at", "_before"
+    at = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return stored.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + at).drop(
+        "_part", "_id", "_before"
     )
 
 
@@ -125,12 +134,40 @@ def counters(mutations: DataFrame) -> DataFrame:
     return mutations.groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hit_rate(accesses: DataFrame, table: str = "table", order: str = "seq") -> DataFrame:
-    """One row ``operations, misses, rate``; the first access of a table is its only miss."""
-    del order
+def hit_rate(accesses: DataFrame, table: str = "table") -> DataFrame:
+    """One row ``operations, misses, rate`` of a cache that never evicts: the first access of a table is its only miss."""
     per = accesses.groupBy(table).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(
         F.sum("n").alias("operations"),
         F.count(F.lit(1)).alias("misses"),
         ((F.sum("n") - F.count(F.lit(1))) / F.sum("n")).alias("rate"),
     )
+
+
+def lru_hits(accesses: DataFrame, capacity: int, reader: str = "reader", table: str = "table", order: str = "seq") -> DataFrame:
+    """``reader, operations, misses`` of caches of ``capacity`` tables that evict the least recently used one.
+
+    A table is still cached when fewer than ``capacity`` other tables were read since its last
+    access.  Each reader (an executor, say) has a cache of its own and is folded in order with the
+    cached tables as the only state.
+    """
+    from collections import OrderedDict
+
+    import pyarrow as pa
+
+    def fold(rows: pa.Table) -> pa.Table:
+        cached: OrderedDict = OrderedDict()
+        misses = 0
+        for name in rows.sort_by("_order")["_table"].to_pylist():
+            if name in cached:
+                cached.move_to_end(name)
+                continue
+            misses += 1
+            cached[name] = None
+            if len(cached) > capacity:
+                cached.popitem(last=False)
+        return pa.table({"reader": rows["_reader"][:1], "operations": pa.array([rows.num_rows], pa.int64()), "misses": pa.array([misses], pa.int64())})
+
+    kind = accesses.schema[reader].dataType.simpleString()
+    named = accesses.select(F.col(reader).alias("_reader"), F.col(table).alias("_table"), F.col(order).alias("_order"))
+    return named.groupBy("_reader").applyInArrow(fold, f"reader {kind}, operations long, misses long")

@@ -6,7 +6,7 @@ space, whose bounds are quantiles of the ranges' lower ends, and met by an equal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.config import Config
@@ -15,12 +15,14 @@ _BUCKETS = 256
 
 
 def _bounds(ranges: DataFrame) -> list[bytes]:
-    """At most ``_BUCKETS`` lower ends at about equal distances in rank."""
-    from pyspark.sql import Window
+    """At most ``_BUCKETS`` lower ends at about equal distances in rank.
 
-    tiles = ranges.select("min_key", F.ntile(_BUCKETS).over(Window.partitionBy(F.lit(0)).orderBy("min_key")).alias("t"))
-    rows = tiles.groupBy("t").agg(F.min("min_key").alias("k")).collect()
-    return sorted({bytes(r["k"]) for r in rows})
+    They are taken from the keys with the smallest hashes, a bounded and repeatable sample that each
+    task reduces first; where the bounds lie decides how even buckets are, not what is found.
+    """
+    sample = ranges.select("min_key").where("min_key IS NOT NULL").orderBy(F.xxhash64("min_key"), "min_key").limit(16 * _BUCKETS)
+    keys = sorted({bytes(r["min_key"]) for r in sample.collect()})
+    return keys[:: max(1, -(-len(keys) // _BUCKETS))]
 
 
 def _bucket(key: Column, bounds: list[bytes]) -> Column:
@@ -59,32 +61,25 @@ def overlapping(ranges: DataFrame, others: DataFrame | None = None, limit: int =
     return pairs.select("id", "other_id").distinct()
 
 
-def floor_lookup(points: DataFrame, index: DataFrame, limit: int = Config.broadcast_rows) -> DataFrame:
+def floor_lookup(points: DataFrame, index: DataFrame) -> DataFrame:
     """Points with the ``offset`` of the greatest ``min_key`` that is not above ``key`` (null: none).
 
-    A run's index has one entry per block; a small one is broadcast as a sorted array, a large
-    one is dealt into buckets, each of which also has the last entry before it.
+    Points and index entries are dealt into buckets of the key space and read in key order, each
+    point taking the last entry before it; a bucket's first points take the last entry of the
+    buckets before, of which there is one for each bucket.
     """
-    if index.limit(limit + 1).count() <= limit:
-        whole = index.agg(F.array_sort(F.collect_list(F.struct("min_key", "offset"))).alias("_index"))
-        below = F.filter("_index", lambda e: e["min_key"] <= F.col("key"))
-        return points.crossJoin(F.broadcast(whole)).withColumn("offset", F.get(below, F.size(below) - 1)["offset"]).drop("_index")
     bounds = _bounds(index)
-    dealt = index.withColumn("_bucket", _bucket(F.col("min_key"), bounds))
-    last = dealt.groupBy("_bucket").agg(F.max(F.struct("min_key", "offset")).alias("e"))
-    lasts = last.agg(F.array_sort(F.collect_list(F.struct("_bucket", "e"))).alias("_lasts"))  # at most one per bucket
-    rows = points.withColumn("_bucket", _bucket(F.col("key"), bounds)).withColumn("_row", F.monotonically_increasing_id())
-    own = (
-        rows.join(dealt, "_bucket")
-        .where(F.col("min_key") <= F.col("key"))
-        .groupBy("_row")
-        .agg(F.max_by("offset", "min_key").alias("_own"))
-    )
-    before = F.filter("_lasts", lambda x: x["_bucket"] < F.col("_bucket"))
-    out = rows.join(own, "_row", "left").crossJoin(F.broadcast(lasts))
-    return out.withColumn("offset", F.coalesce("_own", F.get(before, F.size(before) - 1)["e"]["offset"])).drop(
-        "_row", "_own", "_bucket", "_lasts"
-    )
+    dealt = index.select("min_key", "offset", _bucket(F.col("min_key"), bounds).alias("_bucket"))
+    lasts = dealt.groupBy("_bucket").agg(F.max(F.struct("min_key", "offset"))["offset"].alias("_last")).orderBy("_bucket").collect()
+    kind = index.schema["offset"].dataType
+    before = F.lit(None).cast(kind)
+    for r in lasts:  # at most one for each bucket
+        before = F.when(F.col("_bucket") > r["_bucket"], F.lit(r["_last"]).cast(kind)).otherwise(before)
+    rows = points.withColumns({"_bucket": _bucket(F.col("key"), bounds), "_at": F.col("key"), "_entry": F.lit(False), "_offset": F.lit(None).cast(kind)})
+    entries = dealt.select("_bucket", F.col("min_key").alias("_at"), F.lit(True).alias("_entry"), F.col("offset").alias("_offset"))
+    order = Window.partitionBy("_bucket").orderBy("_at", F.col("_entry").desc(), "_offset")
+    both = rows.unionByName(entries, allowMissingColumns=True).withColumn("offset", F.coalesce(F.last("_offset", ignorenulls=True).over(order), before))
+    return both.where("NOT _entry").drop("_bucket", "_at", "_entry", "_offset")
 
 
 def block_index(runs: DataFrame, block: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata import shared
 from keystrata.config import BLOCK, Config
 from keystrata.functions import codecs, layout
 from keystrata.operators import latest, manifest, ranges
@@ -226,17 +227,9 @@ def run_overlaps(spark, sf_dir):
 
 @_query(
     f"WITH {_M} SELECT k, v, run_id, gone AS deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY run_id DESC, seq DESC) AS rn"
-    " FROM m WHERE user_id < 500 AND level = 0) WHERE rn = 1"
+    " FROM m WHERE level = 0) WHERE rn = 1"
 )
 def young_get(spark, sf_dir):
-    keys = spark.range(500).select(codecs.long_be("id").alias("key"))
-    found = latest.young_get(runs(spark, sf_dir).where("level = 0"), keys)
-    return _show(found).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
-
-
-@_query()
-def young_get_all_keys(spark, sf_dir):
-    """``young_get`` for every key of the log, not only those below 500."""
     keys = _table(spark, sf_dir, "events").select(codecs.long_be("user_id").alias("key"))
     found = latest.young_get(runs(spark, sf_dir).where("level = 0"), keys)
     return _show(found).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
@@ -250,18 +243,8 @@ def level_get(spark, sf_dir):
     return _show(latest.level_get(runs(spark, sf_dir), keys)).select("k", "v", "level", (F.col("op") == latest.DELETE).alias("deleted"))
 
 
-@_query(
-    f"WITH {_M} SELECT k, v, run_id, gone AS deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn"
-    " FROM m WHERE run_id IN (1, 3, 4, 7)) WHERE rn = 1"
-)
+@_query(f"{_N} SELECT k, v, run_id, gone AS deleted FROM n")
 def kway_merge(spark, sf_dir):
-    some = runs(spark, sf_dir).where("run_id IN (1, 3, 4, 7)")
-    return _show(latest.merge(some)).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
-
-
-@_query()
-def kway_merge_all_runs(spark, sf_dir):
-    """``kway_merge`` of every run, not only of four."""
     return _show(latest.merge(runs(spark, sf_dir))).select("k", "v", "run_id", (F.col("op") == latest.DELETE).alias("deleted"))
 
 
@@ -280,27 +263,46 @@ def _sorted_layout(spark, sf_dir, keys=4000):
     return layout.log_layout(o, "run_id").withColumn("key", codecs.long_be("seq"))
 
 
-@_query()
+def _layout_sql(rows: str) -> str:
+    """``w (file, rn, seq, start, fragments, e)``: the place of every row of ``rows (file, seq, d)``, record by record."""
+    return (
+        f"WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) AS rn FROM ({rows})),"
+        " w AS (SELECT DISTINCT file, 0::BIGINT AS rn, NULL::BIGINT AS seq, 0::BIGINT AS start, 0::BIGINT AS fragments, 0::BIGINT AS e FROM r"
+        " UNION ALL SELECT file, rn, seq, start, CASE WHEN d <= room - 9 THEN 1 ELSE 1 + (d - room + 9 + 32758) // 32759 END,"
+        " CASE WHEN d <= room - 9 THEN start + 9 + d ELSE start + room + (d - room + 9) + 9 * ((d - room + 9 + 32758) // 32759) END"
+        " FROM (SELECT *, 32768 - start % 32768 AS room FROM (SELECT r.file, r.rn, r.seq, r.d,"
+        " CASE WHEN 32768 - w.e % 32768 < 9 THEN w.e + 32768 - w.e % 32768 ELSE w.e END AS start"
+        " FROM w JOIN r ON r.file = w.file AND r.rn = w.rn + 1)))"
+    )
+
+
+@_query(
+    _layout_sql("SELECT doc_id % 16 AS file, doc_id AS seq, 12 + octet_length(encode(coalesce(text, ''))) AS d FROM documents")
+    + ' SELECT file, seq, start, fragments, e AS "end" FROM w WHERE rn > 0'
+)
 def log_layout(spark, sf_dir):
     """Place of every document in a log of large values (several fragments each)."""
     d = _table(spark, sf_dir, "documents").select(
-        F.pmod("doc_id", F.lit(16)).alias("file"), F.col("doc_id").alias("seq"), (F.lit(4 + 8) + F.octet_length("text")).alias("bytes")
+        F.pmod("doc_id", F.lit(16)).alias("file"), F.col("doc_id").alias("seq"), (F.lit(4 + 8) + F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")
     )
     return layout.log_layout(d)
 
 
 @_query(
-    "WITH b AS (SELECT o_orderkey, o_orderkey // 1000 AS run_id, sum(9 + 12 + octet_length(encode(o_orderpriority)))"
-    " OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS e FROM orders)"
-    " SELECT run_id, count(*) AS n, max(e)::BIGINT AS size FROM b GROUP BY run_id HAVING max(e) <= 32768"
+    _layout_sql("SELECT o_orderkey // 1000 AS file, o_orderkey AS seq, 12 + octet_length(encode(o_orderpriority)) AS d FROM orders")
+    + " SELECT file AS run_id, max(rn) AS n, max(e) AS size FROM w WHERE rn > 0 GROUP BY file"
 )
 def wal_record_bytes(spark, sf_dir):
-    """Tables that fit into one block: there a record takes its header and its bytes."""
+    """Records and bytes of every table, headers and blocks' ends included."""
     placed = _sorted_layout(spark, sf_dir, 1000)
-    return placed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("size")).where(F.col("size") <= BLOCK)
+    return placed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("size"))
 
 
-@_query()
+@_query(
+    _layout_sql("SELECT o_orderkey // 4000 AS file, o_orderkey AS seq, 12 + octet_length(encode(o_orderpriority)) AS d FROM orders")
+    + " SELECT file AS run_id, start // 32768 AS block_id, lpad(hex(min(seq)), 16, '0') AS min_key, start // 32768 * 32768 AS offset"
+    " FROM w WHERE rn > 0 GROUP BY ALL"
+)
 def block_index(spark, sf_dir):
     index = ranges.block_index(_sorted_layout(spark, sf_dir), BLOCK)
     return index.select("run_id", "block_id", F.hex("min_key").alias("min_key"), "offset")
@@ -372,18 +374,13 @@ def round_robin_next(spark, sf_dir):
 
 
 @_query(
-    f"WITH {_R}, s AS (SELECT * FROM r WHERE level = 0), t AS (SELECT * FROM r WHERE level = 1 AND id % 2 = 0)"
+    "WITH r AS (SELECT o_orderkey // 400 AS id, min(o_orderkey) AS a, min(o_orderkey) + sum(o_custkey) % 800 AS b, (o_orderkey // 400) % 3 AS level FROM orders GROUP BY 1, 4),"
+    " s AS (SELECT * FROM r WHERE level = 0), t AS (SELECT * FROM r WHERE level = 1)"
     " SELECT id, 1 AS level FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE s.a <= t.b AND t.a <= s.b)"
     " AND NOT EXISTS (SELECT 1 FROM s u WHERE u.id <> s.id AND s.a <= u.b AND u.a <= s.b)"
 )
 def trivial_moves(spark, sf_dir):
-    r = order_runs(spark, sf_dir)
-    return manifest.trivial_moves(r.where("level = 0"), r.where("level = 1 AND id % 2 = 0")).select("id", "level")
-
-
-@_query()
-def trivial_moves_all_runs(spark, sf_dir):
-    """``trivial_moves`` with all runs of level 1, over runs of up to 800 keys so that some have neighbours and some have none."""
+    """Runs of up to 800 keys, so that some have neighbours below and some have none."""
     o = _table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 400).cast("long").alias("id"))
     r = o.agg(F.min("o_orderkey").alias("a"), F.pmod(F.sum("o_custkey"), F.lit(800)).alias("width")).select(
         "id",
@@ -410,30 +407,47 @@ def cache_hit_rate(spark, sf_dir):
     return latest.hit_rate(_table(spark, sf_dir, "events").select(F.col("user_id").alias("table")))
 
 
-@_query()
+@_query(
+    "WITH a AS (SELECT user_id % 8 AS reader, user_id // 8 AS t, event_id AS seq FROM events),"
+    " p AS (SELECT *, lag(seq) OVER (PARTITION BY reader, t ORDER BY seq) AS was FROM a),"
+    " h AS (SELECT p.reader, p.seq, count(DISTINCT a.t) AS others FROM p JOIN a ON a.reader = p.reader AND a.seq > p.was AND a.seq < p.seq GROUP BY ALL)"
+    " SELECT p.reader, count(*) AS operations, count(*) FILTER (WHERE was IS NULL OR coalesce(others, 0) >= 8) AS misses"
+    " FROM p LEFT JOIN h ON h.reader = p.reader AND h.seq = p.seq GROUP BY p.reader"
+)
+def cache_evictions(spark, sf_dir):
+    """Misses of eight readers with caches of eight tables each."""
+    a = _table(spark, sf_dir, "events").select(
+        F.pmod("user_id", F.lit(8)).alias("reader"), F.floor(F.col("user_id") / 8).cast("long").alias("table"), F.col("event_id").alias("seq")
+    )
+    return latest.lru_hits(a, 8)
+
+
+@_query(
+    "WITH RECURSIVE r AS (SELECT o_orderkey // 4000 AS run_id, o_orderkey AS seq, 100 + o_custkey % 97 AS d,"
+    " row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) AS rn FROM orders),"
+    " w AS (SELECT DISTINCT run_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, 0::BIGINT AS d, 0::BIGINT AS part, 0::BIGINT AS total FROM r"
+    " UNION ALL SELECT r.run_id, r.rn, r.seq, r.d, CASE WHEN w.total >= 20000 THEN w.part + 1 ELSE w.part END,"
+    " CASE WHEN w.total >= 20000 THEN r.d ELSE w.total + r.d END FROM w JOIN r ON r.run_id = w.run_id AND r.rn = w.rn + 1)"
+    " SELECT run_id, part, count(*) AS n, min(seq) AS first, sum(d)::BIGINT AS size FROM w WHERE rn > 0 GROUP BY ALL"
+)
 def output_split(spark, sf_dir):
     """Parts of at least 20,000 bytes of each run of orders."""
     o = _table(spark, sf_dir, "orders").select(
-        F.floor(F.col("o_orderkey") / 4000).cast("long").alias("run_id"), F.col("o_orderkey").alias("seq"), F.lit(120).alias("bytes")
+        F.floor(F.col("o_orderkey") / 4000).cast("long").alias("run_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97 + 100).alias("bytes")
     )
     split = layout.split_by_bytes(o, "run_id", "seq", "bytes", 20_000)
     return split.groupBy("run_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.sum("bytes").alias("size"))
 
 
-@_query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, true AS known FROM documents")
+@_query(
+    "WITH RECURSIVE b AS (SELECT s_suppkey, s_name AS t, 4294967295::BIGINT AS c, 0 AS i FROM supplier"
+    " UNION ALL SELECT s_suppkey, t, xor(c >> 1, CASE WHEN (c & 1) <> ((ord(t[i // 8 + 1]) >> (i % 8)) & 1) THEN 2197175160 ELSE 0 END), i + 1"
+    " FROM b WHERE i < 8 * length(t))"
+    " SELECT s_suppkey, xor(c, 4294967295) AS crc FROM b WHERE i = 8 * length(t)"
+)
 def crc_verify(spark, sf_dir):
-    """CRC-32C of every document, equal to that of the text with its bytes taken from the key codec."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", codecs.from_text(F.coalesce("text", F.lit(""))).alias("b"))
-    summed = d.select("doc_id", F.octet_length("b").cast("long").alias("bytes"), codecs.crc32c("b").alias("crc"), codecs.crc32c(codecs.from_text(codecs.to_text("b"))).alias("again"))
-    return summed.select("doc_id", "bytes", ((F.col("crc") == F.col("again")) & F.col("crc").between(0, 2**32 - 1)).alias("known"))
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keystrata-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """CRC-32C of every supplier's name; the SQL computes it bit by bit."""
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", codecs.crc32c(codecs.from_text("s_name")).cast("long").alias("crc"))
 
 
 @_query(f"{_N} SELECT k, v FROM n WHERE NOT gone")
@@ -442,7 +456,7 @@ def store_live(spark, sf_dir):
     from keystrata.plans.compaction import compact
     from keystrata.sources.store import Store
 
-    store = Store(spark, _folder(spark, "store"), Config(table_bytes=200_000, young_tables=2))
+    store = Store(spark, shared.folder(spark, "store"), Config(table_bytes=200_000, young_tables=2))
     m = mutations(spark, sf_dir).withColumn("third", F.pmod("seq", F.lit(3)))
     top = m.agg(F.max("seq")).first()[0] + 1
     for i in range(3):
@@ -460,7 +474,7 @@ def wal_replay(spark, sf_dir):
     """The log written as binary files and scanned back."""
     from keystrata.sources import logfile
 
-    folder = _folder(spark, "wal")
+    folder = shared.folder(spark, "wal")
     logfile.write_logs(runs(spark, sf_dir), folder, "run_id").collect()
     back = logfile.read_logs(spark, folder).withColumn("run_id", F.regexp_extract("path", "wal_([0-9]+)$", 1).cast("long"))
     return _show(back).select("run_id", "k", "v", (F.col("op") == latest.DELETE).alias("deleted"), "intact")
@@ -477,7 +491,7 @@ def sstable_scan(spark, sf_dir):
         F.lit(latest.PUT).alias("op"),
         codecs.from_text("o_orderpriority").alias("value"),
     )
-    folder = _folder(spark, "sstable")
+    folder = shared.folder(spark, "sstable")
     logfile.write_tables(o, folder, "run_id").collect()
     back = logfile.read_tables(spark, folder).withColumn("run_id", F.regexp_extract("path", "sstable_([0-9]+)$", 1).cast("long"))
     return _show(back).select("run_id", "k", "v", "intact")

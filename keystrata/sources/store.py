@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,20 +80,20 @@ class Store:
 
     # -- writes --------------------------------------------------------------------------------
 
-    def write(self, mutations: DataFrame, order: str | None = None) -> None:
-        """Append ``key, op, value`` rows; among rows of one call ``order`` tells which is newer."""
+    def write(self, mutations: DataFrame, order: str | None = None, **state) -> None:
+        """Append ``key, op, value`` rows; among rows of one call ``order`` tells which is newer.
+
+        ``state`` is published in the same version as the rows.
+        """
         rows = mutations.select("key", "op", F.when(F.col("op") == latest.PUT, F.col("value")).alias("value"), *([F.col(order).alias("_o")] if order else []))
-        if order:
-            rows = latest.positions(rows, "_o", name="_p")
-        else:
-            rows = rows.withColumn("_p", F.monotonically_increasing_id() + 1)
+        rows = latest.positions(rows, *(["_o"] if order else []), name="_p")
         number, last = self.state["next_batch"], self.state["seq"]
         target = f"{self.path}/log/{number:09d}-{uuid.uuid4().hex}"
         rows.select((F.lit(last) + F.col("_p")).alias("seq"), "key", "op", "value").write.parquet(target)
         top = self.spark.read.parquet(target).agg(F.max("seq"), F.count(F.lit(1)), F.sum(_data_bytes())).first()
         self.writes += top[1]
         batch = {"path": target, "bytes": int(top[2] or 0)}
-        self.publish(seq=last if top[0] is None else top[0], next_batch=number + 1, batches=[*self.state["batches"], batch])
+        self.publish(seq=last if top[0] is None else top[0], next_batch=number + 1, batches=[*self.state["batches"], batch], **state)
         if sum(b["bytes"] for b in self.state["batches"]) > self.config.log_bytes:
             self.flush()
 
@@ -169,9 +170,14 @@ class Store:
     def stats(self) -> str:
         return manifest.stats_text(self.manifest())
 
-    def vacuum(self) -> list[str]:
-        """Delete data files that neither the newest version nor its log has."""
+    def vacuum(self, seconds: float = 86_400) -> list[str]:
+        """Delete data files that neither the newest version nor its log has.
+
+        Files younger than ``seconds`` stay: a writer may be about to publish them, or a reader
+        may still have the version before.
+        """
         fs, root = self._fs(self.path)
+        until = (time.time() - seconds) * 1000
         keep = {r["path"] for r in self.state["runs"]}
         batches = {b["path"].rpartition("/")[2] for b in self.state["batches"]}
         gone = []
@@ -179,7 +185,10 @@ class Store:
             folder = self._fs(f"{self.path}/{part}")[1]
             for status in fs.listStatus(folder) if fs.exists(folder) else []:
                 path = status.getPath()
-                files = [f.getPath() for f in fs.listStatus(path)]
+                listed = list(fs.listStatus(path))
+                if any(f.getModificationTime() > until for f in listed):
+                    continue
+                files = [f.getPath() for f in listed]
                 if part == "log":
                     dead = [] if path.getName() in batches else files
                 else:

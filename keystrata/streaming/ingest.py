@@ -15,15 +15,15 @@ from keystrata.sources.store import Store
 def ingest(stream: DataFrame, store: Store, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
     """Write ``key, op, value`` rows of a stream to a store.
 
-    A micro-batch that is repeated after a failure is skipped if its number was published.
+    A micro-batch that is repeated after a failure is skipped if its number was published, which
+    happens in the same manifest version as its rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if store.state.get("stream", -1) >= number or batch.isEmpty():
             return
         batch = batch.persist()
-        store.write(batch, order)
-        store.publish(stream=number)
+        store.write(batch, order, stream=number)
         batch.unpersist()
 
     return (

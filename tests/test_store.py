@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keystrata.config import Config
@@ -72,7 +73,8 @@ def test_ranges_small_and_large_agree(spark):
     for limit in (1000, 3):
         assert sorted((r.n, r.id) for r in ranges.covering(points, table, limit).collect()) == want
         assert sorted((r.id, r.other_id) for r in ranges.overlapping(table, limit=limit).collect()) == pairs
-        assert {r.n: r.offset for r in ranges.floor_lookup(points, index, limit).collect()} == floor
+    assert {r.n: r.offset for r in ranges.floor_lookup(points, index).collect()} == floor
+    assert {r.offset for r in ranges.floor_lookup(points, index.limit(0)).collect()} == {None}
 
 
 RUNS = "id long, path string, min_key binary, max_key binary, level int, file_size long"
@@ -150,7 +152,8 @@ def test_store_matches_a_dict_under_random_writes(spark, folder):
     store.close()
     again = Store(spark, folder, store.config)
     assert as_dict(again.live()) == want and again.state == store.state
-    again.vacuum()
+    assert again.vacuum() == []  # too young to be taken
+    again.vacuum(0)
     assert as_dict(Store(spark, folder).live()) == want
     some = next(iter(want))
     assert again.get(some) == want[some] and again.get(b"nothing") is None
@@ -199,7 +202,7 @@ def test_a_second_writer_is_told(spark, folder):
 
 def test_empty_store(spark, folder):
     store = Store(spark, folder)
-    assert store.get(b"k") is None and store.live().count() == 0 and store.vacuum() == []
+    assert store.get(b"k") is None and store.live().count() == 0 and store.vacuum(0) == []
     store.close()
 
 
@@ -226,3 +229,43 @@ def test_stream_into_store(spark, folder, tmp_path):
     stream = spark.readStream.schema("o long, key binary, op string, value binary").parquet(f"{tmp_path}/in")
     ingest(stream, store, f"{tmp_path}/ck", order="o").awaitTermination()
     assert as_dict(store.live()) == {b"b": b"2"}
+
+
+def test_positions_number_rows_that_carry_columns(spark):
+    n = 1_200_000
+    rows = spark.range(n, numPartitions=6).select(F.xxhash64("id").alias("k"), F.concat(F.lit("payload "), "id").alias("v"))
+    numbered = latest.positions(rows, "k")
+    before = F.lag("k").over(Window.orderBy("position"))
+    found = numbered.withColumn("before", before).agg(
+        F.countDistinct("position").alias("n"), F.min("position").alias("a"), F.max("position").alias("b"), F.sum((F.col("before") > F.col("k")).cast("int")).alias("odd")
+    ).first()
+    assert (found.n, found.a, found.b, found.odd) == (n, 1, n, 0)
+    assert latest.positions(rows.limit(0), "k").count() == 0
+
+
+def test_ordered_writes_get_distinct_seq(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(log_bytes=1 << 40))
+    n = 200_000
+    rows = spark.range(n, numPartitions=5).select(
+        F.encode(F.concat(F.lit("key"), F.col("id") % 1000), "UTF-8").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value"), "id"
+    )
+    store.put(rows, order="id")
+    store.put(rows.limit(10))
+    seq = store.mutations().agg(F.countDistinct("seq").alias("n"), F.max("seq").alias("top")).first()
+    assert (seq.n, seq.top) == (n + 10, n + 9)
+    store.put(rows, order="id")
+    assert all(int(v) >= n - 1000 for v in (bytes(r.value) for r in store.live().collect()))
+
+
+def test_cache_evicts_the_least_recently_used(spark):
+    rng = random.Random(4)
+    rows = [(r, rng.randrange(12), i) for i, r in enumerate(rng.randrange(3) for _ in range(400))]
+    want = {}
+    for reader in range(3):
+        cached, misses = [], 0
+        for _, t, _ in [x for x in rows if x[0] == reader]:
+            misses += t not in cached
+            cached = [x for x in cached if x != t][-4:] + [t]
+        want[reader] = (sum(x[0] == reader for x in rows), misses)
+    df = spark.createDataFrame(rows, "reader int, table int, seq int")
+    assert {r.reader: (r.operations, r.misses) for r in latest.lru_hits(df, 5).collect()} == want

@@ -23,12 +23,12 @@ def rows(query, spark):
 
 
 def test_young_get_looks_up_every_key(spark):
-    got = rows("young_get_all_keys", spark)
+    got = rows("young_get", spark)
     assert got == newest(0) and max(got) >= 500
 
 
 def test_kway_merge_takes_every_run(spark):
-    got = rows("kway_merge_all_runs", spark)
+    got = rows("kway_merge", spark)
     assert got == newest() and len({run for _, run, _ in got.values()} - {1, 3, 4, 7}) > 1
 
 
@@ -42,6 +42,6 @@ def test_trivial_moves_meet_every_run_below(spark):
     upper, lower = ([i for i in span if i % 3 == level] for level in (0, 1))
     meets = lambda i, others: any(span[i][0] <= span[j][1] and span[j][0] <= span[i][1] for j in others if j != i)
     want = {(i, 1) for i in upper if not meets(i, upper) and not meets(i, lower)}
-    got = {tuple(r) for r in queries.queries()["trivial_moves_all_runs"](spark, SF_DIR).collect()}
+    got = {tuple(r) for r in queries.queries()["trivial_moves"](spark, SF_DIR).collect()}
     assert got == want and 0 < len(want) < len(upper)
     assert any(not meets(i, [j for j in lower if j % 2 == 0]) for i in upper if (i, 1) not in want)  # odd runs matter
