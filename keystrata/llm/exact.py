@@ -153,7 +153,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "text_sha256",
     )
     grouped = judged.where("suspect AND doc_id IS NOT NULL").join(groups, "text_sha256")
-    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("chars").desc())) == 1
-    kept = grouped.where("doc_id = keep_id").withColumn("kept", first)
-    grouped = kept.unionByName(grouped.where("doc_id <> keep_id").withColumn("kept", F.lit(False)))
+    repeated = judged.where("suspect AND doc_id IS NOT NULL").count() > suspects.count()
+    if not repeated:
+        grouped = grouped.withColumn("kept", F.col("doc_id") == F.col("keep_id"))
+    else:  # rows that repeat an id: one of those that are equal in id and text stays
+        first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("chars").desc())) == 1
+        kept = grouped.where("doc_id = keep_id").withColumn("kept", first)
+        grouped = kept.unionByName(grouped.where("doc_id <> keep_id").withColumn("kept", F.lit(False)))
     return alone.unionByName(grouped.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))

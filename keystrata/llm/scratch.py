@@ -11,16 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder that the session names; without one there is nowhere safe to write."""
-    where = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if not where:
-        raise ValueError(f"{_SETTING} is not set: name a folder that all executors share")
-    return where.rstrip("/")
-
+from keystrata.shared import root
 
 #: Folders of this process that have not been removed.
 _OPEN: dict[str, SparkSession] = {}
@@ -38,7 +29,7 @@ def sweep(spark: SparkSession, *but: Scratch) -> None:
 
 
 class Scratch:
-    """Tables of one operator run below :func:`root`.
+    """Tables of one operator run below :func:`keystrata.shared.root`.
 
     A table that has been written is read back from storage that every executor shares, so
     an executor that is lost later costs at most the tasks that it was running.
