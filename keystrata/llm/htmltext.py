@@ -31,7 +31,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 #: Elements that are left out from their tag to its end tag; one that is never closed is only its tag.
-_LEFT_OUT = {"noscript", "template", "iframe", "object", "svg", "math", "select", "canvas", "audio", "video"}
+_LEFT_OUT = {"noscript", "template", "iframe", "object", "svg", "select", "canvas", "audio", "video"}
 _ANY_LEFT_OUT = re.compile(rf"<(?:{'|'.join(sorted(_LEFT_OUT))})\b", re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -54,6 +54,14 @@ _MARKS = frozenset(
     " sharing social comment comments disqus reply replies respond related recommended newsletter subscribe subscription"
     " signup breadcrumb breadcrumbs pagination pager popup modal overlay login search toolbar skip hidden dialog".split()
 )
+#: Words that only in company say that something is article text (``related-work``, ``alert-levels``).
+_ALONE = frozenset("related recommended alert banner notice notices search".split())
+#: Words that do not change what a mark beside them says.
+_FILLER = frozenset(
+    "box list bar block wrap wrapper container content inner outer area section widget item items link links main site page top bottom left"
+    " right global primary secondary posts post articles article stories story reading message text form field button buttons input icon icons"
+    " the to of for and js no nojs col row grid panel module region zone holder group title heading head body msg info warning danger success error primary default".split()
+)
 #: Beside these a mark says something about the page or belongs to the article.
 _ABOUT = frozenset({"has", "with", "no", "without"})
 _HEADLINE = frozenset({"article", "post", "entry", "story"})
@@ -193,6 +201,8 @@ class Page:
                 found = frozenset()
             if found == {"header"} and (inside or not _HEADLINE.isdisjoint(words)):
                 found = frozenset()  # the headline of the article
+            elif found and found <= _ALONE and not _FILLER.issuperset(w for w in words if w not in self._marks and not w.isdigit() and w):
+                found = frozenset()  # a word of the article's own, with another that says what of
             counts = not found and (name not in self._apart or (name == "header" and inside))
         if name in _CONTAINER and name not in ("body",) and counts:
             self.paths.append(f"{self.paths[above]}/{label}")
@@ -212,7 +222,7 @@ class Page:
         return [" ".join(_html.unescape("".join(parts)).split()) for _, parts, _, _ in self.blocks]
 
     def menus(self) -> set[int]:
-        """Containers that are lists of links in all but name."""
+        """Containers that are lists of links in all but name: of short ones, since references are long."""
         total: dict[int, list[int]] = {}
         for container, parts, linked, links in self.blocks:
             n = sum(map(len, parts))
@@ -222,7 +232,7 @@ class Page:
                 sums[1] += linked
                 sums[2] += links
                 container = self.parents[container]
-        return {c for c, (n, linked, links) in total.items() if links >= 3 and 10 * linked >= 8 * n}
+        return {c for c, (n, linked, links) in total.items() if links >= 3 and 10 * linked >= 8 * n and linked < 30 * links}
 
     def scores(self, texts: list[str]) -> list[float]:
         """Text that each container holds: its own blocks in full, those of containers inside by half a level."""

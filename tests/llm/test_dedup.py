@@ -43,7 +43,7 @@ def test_exact(spark):
 def test_exact_edges(spark):
     assert exact.exact_dedup(table(spark, [])).count() == 0
     rows = exact.exact_dedup(table(spark, [(None, "a"), (1, "a"), (1, "a"), (2, None), (3, " ")])).collect()
-    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in rows) == [(-1, True, 1), (1, True, 2), (1, True, 2), (2, False, 2), (3, True, 2)]
+    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in rows) == [(-1, True, 1), (1, False, 2), (1, True, 2), (2, False, 2), (3, True, 2)]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -59,28 +59,63 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in rows) == [(-1, 1, -1), (1, 0, 1), (2, 1, 2), (2, 1, 2), (3, 1, 2)]
 
 
-def test_subsets_and_lists_find_the_same(spark):
+@pytest.mark.parametrize("cell_rows", [setjoin.CELL_ROWS, 5])
+def test_subsets_and_lists_find_the_same(spark, cell_rows):
+    """Whatever the boundary, and in one cell or many, linked sets get into one part."""
     rows = list(enumerate(near_texts(4)))
-    engine = setjoin.Engine(table(spark, rows), "test")
-    found = []
+    engine = setjoin.Engine(table(spark, rows), "test", cell_rows=cell_rows)
+    lists = engine.lists()
+    sets = sorted({frozenset(shingles(words(lower(t)))) for _, t in rows}, key=sorted)
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if similar(a, sets[j]):
+                p, q = root[i], root[j]
+                root = [min(p, q) if r in (p, q) else r for r in root]
+    linked = sum(root.count(r) for r in set(root) if root.count(r) > 1)
     for boundary in (1, 12, setjoin.SMALL_MOST):
-        keys = setjoin.join_keys(engine.alive, boundary)
-        side = lambda x: keys.select("key", *(keys[c].alias(f"{x}_{c}") for c in ("class", "size", "rank")))  # noqa: B023, E731
-        links = engine.verify(engine.likely(engine.pairs(side("a").join(side("b"), "key").where("a_class < b_class"))))
-        found.append({(bytes(r.a), bytes(r.b)) for r in links.collect()})
-    sets = {frozenset(shingles(words(lower(t)))) for _, t in rows}
-    linked = sum(similar(a, b) for a in sets for b in sets if a != b) // 2
-    assert found[0] == found[1] == found[2] and len(found[0]) == linked > 0
-    assert 1 <= setjoin.subset_boundary(engine.alive) <= setjoin.SMALL_MOST
+        links = engine.links(setjoin.join_keys(lists, boundary), "forest")
+        roots = setjoin.components(links, engine.scratch, "test").collect()
+        assert len(roots) == linked and len({r.root for r in roots}) == sum(root.count(r) > 1 for r in set(root))
+        engine.scratch.drop("families", "wide", "links_near", "links_far", "widelabels0", "widelabels1", "unsettled", "testlabels1", "testlabels2", "testlabels3")
+        engine.scratch = setjoin.Scratch(spark, "again")
+    assert 1 <= setjoin.subset_boundary(lists) <= setjoin.SMALL_MOST
 
 
-def test_bitmap_bounds_the_overlap():
+def test_overlaps_and_bitmaps():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        common = rng.integers(0, 2**63, rng.integers(0, 200), dtype=np.uint64)
-        a, b = (np.unique(np.concatenate((common, rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)))) for _ in range(2))
-        bound = setjoin.most_overlap(setjoin.bitmap(a), setjoin.bitmap(b), len(a), len(b))
-        assert bound >= len(np.intersect1d(a, b))
+    common = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, rng.integers(0, 60)), rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)))) for _ in range(40)]
+    got = setjoin.overlaps(sets)
+    want = np.array([[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (got == want).all()
+    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    maps, width = setjoin.bitmaps(setjoin.Sets(np.concatenate(sets), np.repeat(np.arange(40), np.diff(first)), first))
+    at = np.concatenate(([0], np.cumsum(width)))
+    column = pa.array([maps[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+    size = np.diff(first)
+    for i in range(40):
+        for j in range(i):
+            if want[i, j] >= setjoin._least(size[i : i + 1], size[j : j + 1])[0]:
+                keep = np.zeros(40, bool)
+                setjoin._mark(keep, np.array([i]), np.array([j]), size, column)
+                assert keep[i] and keep[j]
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text is judged by itself, whatever other text has its id."""
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = " ".join(["edited", *a.split()[1:]])
+    rows = [(1, a), (1, b), (2, near), (3, c), (3, c), (5, b + " x")]
+    links = jaccard.jaccard_join(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in links) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (5, 1)]
+    cut = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(table(spark, rows)).collect())
+    assert cut == [(1, 60, 59), (1, 60, 60), (2, 60, 59), (3, 60, 60), (3, 60, 60), (5, 61, 60)]
+    kept = exact.exact_dedup(table(spark, [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept, r.group_size) for r in kept) == [(1, 1, False, 3), (1, 1, True, 1), (1, 1, True, 3), (2, 1, False, 3)]
+    lines = linededup.line_dedup(table(spark, [(1, "x y z"), (1, "p q\nr s"), (2, "r s")])).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in lines) == [(1, 1, 0), (1, 2, 0), (2, 1, 1)]
 
 
 def test_frequent_tokens_come_last():
@@ -107,11 +142,12 @@ def brute_lines(rows):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("cell_rows", [setjoin.CELL_ROWS, 4])
+def test_lines(spark, cell_rows):
     rng = random.Random(8)
     rows = [t for t in texts() if len(t or "") < 20_000] + ["\n".join(rng.sample(near_texts(2), 12)) for _ in range(6)]
     rows = list(enumerate(rows))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in linededup.line_dedup(table(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in linededup.line_dedup(table(spark, rows), cell_rows=cell_rows).collect()}
     assert got == brute_lines(rows)
 
 
