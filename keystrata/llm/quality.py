@@ -171,19 +171,21 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None, keep_columns: b
     limits = limits or Limits()
     names = [f.split()[0] for f in _FIELDS.split(",")]
     carried = [c for c in docs.columns if c not in names] if keep_columns else ["doc_id"]
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    source = docs.select(*(quoted(c) for c in dict.fromkeys([*carried, "text", "doc_id"])))
+    places = [docs.columns.index(c) for c in carried]
+    source = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # plain names: mapInArrow does not quote them
+    text = f"_{docs.columns.index('text')}"
+    source = source.select(*dict.fromkeys([*(f"_{i}" for i in places), text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textcore.as_strings(batch.column("text"))
+            texts = textcore.as_strings(batch.column(text))
             for a, b in textcore.slices(texts):
-                own = [batch.column(c).slice(a, b - a) for c in carried]
-                yield pa.RecordBatch.from_arrays(own + measure(texts.slice(a, b - a), limits), names=carried + names)
+                own = [batch.column(f"_{i}").slice(a, b - a) for i in places]
+                yield pa.RecordBatch.from_arrays(own + measure(texts.slice(a, b - a), limits), names=[f"_{i}" for i in places] + names)
 
     reach(docs.sparkSession)
-    schema = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in carried)
-    return source.mapInArrow(run, f"{schema}, {_FIELDS}")
+    schema = ", ".join(f"_{i} {source.schema[f'_{i}'].dataType.simpleString()}" for i in places)
+    return source.mapInArrow(run, f"{schema}, {_FIELDS}").toDF(*carried, *names)
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -194,11 +196,14 @@ def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
     kept_at = [f.split()[0] for f in _FIELDS.split(",")].index("kept")
 
+    text = docs.columns.index("text")
+    rows = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # plain names: mapInArrow does not quote them
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textcore.as_strings(batch.column("text"))
+            texts = textcore.as_strings(batch.column(text))
             for a, b in textcore.slices(texts):
                 yield batch.slice(a, b - a).filter(measure(texts.slice(a, b - a), limits)[kept_at])
 
     reach(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

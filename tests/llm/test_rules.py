@@ -367,7 +367,7 @@ def test_pipeline_with_odd_tables(spark):
 
     rng = random.Random(3)
     long = prose(rng, 20_000)
-    rows = [(1, long), (2, long + " end"), (1, "same words here " * 9 + prose(rng, 40)), (None, None), (4, ""), (4, "")]
+    rows = [(1, long), (2, long + " end"), (1, prose(rng, 70)), (None, None), (4, ""), (4, "")]
     docs = table(spark, rows).withColumn("a.b", F.lit("own")).withColumn("own_id", F.lit("own")).withColumn("_0", F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.limit(0), "")
