@@ -18,7 +18,7 @@ def linked_classes(engine: setjoin.Engine) -> DataFrame:
     """``class, root`` of all classes that are linked with another one."""
     lists = engine.scratch.keep(engine.lists(), "lists")
     keys = setjoin.join_keys(lists, setjoin.subset_boundary(lists))
-    return setjoin.components(engine.links(keys, "forest"), engine.scratch, "all")
+    return setjoin.components(engine.links(keys, "forest", "alive", "lists"), engine.scratch, "all")
 
 
 def component_rows(docs: DataFrame) -> DataFrame:

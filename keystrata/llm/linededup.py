@@ -30,7 +30,7 @@ def _engine(docs: DataFrame, cell_rows: int = setjoin.CELL_ROWS) -> setjoin.Engi
 def later_matches(engine: setjoin.Engine) -> DataFrame:
     """``doc_id, unit`` (line number from 0) of every line that an earlier one matches."""
     keys = setjoin.prefix_keys(engine.lists())
-    settled = engine.links(keys, "earlier").select(F.col("a.c1").alias("c1"), F.col("a.c2").alias("c2")).distinct()
+    settled = engine.links(keys, "earlier", "alive").select(F.col("a.c1").alias("c1"), F.col("a.c2").alias("c2")).distinct()
     order = engine.info.select("c1", "c2", F.struct("doc_id", "unit").alias("first"))
     first_lines = order.join(settled, ["c1", "c2"], "left_semi").select("first.doc_id", "first.unit")
     again = engine.ledger.join(order, ["c1", "c2"]).where("struct(doc_id, unit) <> first").select("doc_id", "unit")

@@ -98,4 +98,4 @@ def rows_with(docs: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
         bucket: Column = F.pmod(F.xxhash64(*on), F.lit(m)).alias("_bucket")
         some = wanted.select(bucket).distinct()
         docs = docs.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
-    return docs.join(wanted, on)
+    return docs.join(wanted.hint("merge"), on)  # at any size in the same way

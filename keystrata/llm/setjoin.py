@@ -200,8 +200,11 @@ class Engine:
         info = found.where("bitmap IS NOT NULL").groupBy("c1", "c2").agg(first)
         self.info = self.scratch.keep(info.select("c1", "c2", "f.doc_id", "f.unit", "f.bitmap"), "info")
         rows = stored.where("sender IS NULL") if whole else found.where("token IS NULL AND bitmap IS NULL")
-        self.ledger = rows.select("doc_id", "unit", "size", "c1", "c2")
-        self.documents = stored.where("sender IS NULL").select("doc_id", F.col("unit").alias("n_units"), "sha")
+        self.ledger = self.scratch.keep(rows.select("doc_id", "unit", "size", "c1", "c2"), "ledger")
+        if not whole:
+            documents = stored.where("sender IS NULL").select("doc_id", F.col("unit").alias("n_units"), "sha")
+            self.documents = self.scratch.keep(documents, "documents")
+        self.scratch.drop("postings")
 
     def _frequent(self):
         """Tokens by how often they occur, as sorted arrays; at most ``HEAVY`` of them."""
@@ -229,14 +232,16 @@ class Engine:
 
     # -- links -----------------------------------------------------------------------------------
 
-    def links(self, keyed: DataFrame, rule: str) -> DataFrame:
+    def links(self, keyed: DataFrame, rule: str, *release: str) -> DataFrame:
         """Links ``a, b`` (structs ``c1, c2``) of classes that share a key and are similar.
 
         ``keyed`` is what :func:`with_heads` returns.  Rule ``forest``: of every connected part of
         a family a spanning forest.  Rule ``earlier``: for every class ``a`` that has a similar
-        class with an earlier first unit in its family, one such class ``b``.
+        class with an earlier first unit in its family, one such class ``b``.  ``release`` names
+        tables that nobody needs once the families are written.
         """
         family = self.scratch.keep(families(keyed), "families")
+        self.scratch.drop(*release)
         count = family.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
         blocks = F.ceil(F.greatest(F.col("n") / self.cell_rows, F.col("w") / CELL_TOKENS)).cast("int")
         wide = self.scratch.keep(count.select("head", blocks.alias("blocks")).where("blocks > 1"), "wide")
