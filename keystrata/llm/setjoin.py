@@ -153,10 +153,12 @@ def needed(size):
 def bitmaps(s: Sets, most: int = BITMAP_MOST) -> tuple[bytes, np.ndarray]:
     """Parity bitmaps of all sets, one after the other, and the bytes of each.
 
-    A set has at least four bits a token, or ``most``; smaller bitmaps are folds of larger ones.
+    A set has one to two bits a token, or ``most``; smaller bitmaps are folds of larger ones.  Sets
+    that share little differ in about half of so many bits, and similar ones in at most 2 / 9 of
+    their tokens, so more bits would only cost more to move.
     """
     size = np.maximum(s.size, 1)
-    bits = np.minimum(most, np.maximum(64, 1 << (np.ceil(np.log2(4 * size)).astype(np.int64))))
+    bits = np.minimum(most, np.maximum(64, 1 << (np.ceil(np.log2(size)).astype(np.int64))))
     begin = np.concatenate(([0], np.cumsum(bits)))
     at = begin[s.unit] + (s.token & (bits[s.unit] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(at, minlength=int(begin[-1])).astype(np.uint8) & 1
@@ -242,14 +244,14 @@ class Engine:
         """
         family = self.scratch.keep(families(keyed), "families")
         self.scratch.drop(*release)
-        count = family.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+        pivot = F.shiftright("c1", _RANK_BITS) == F.col("head")  # the head stands in every cell of its family
         blocks = F.ceil(F.greatest(F.col("n") / self.cell_rows, F.col("w") / CELL_TOKENS)).cast("int")
-        wide = self.scratch.keep(count.select("head", blocks.alias("blocks")).where("blocks > 1"), "wide")
+        shapes = shape(family, pivot).select("head", blocks.alias("blocks"), "idle").where("blocks > 1 OR idle")
+        shapes = self.scratch.keep(shapes, "shapes")
+        wide = shapes.where("NOT idle").drop("idle")
         narrow = wide.isEmpty()
-        dealt = family if narrow else family.join(wide, "head", "left")
-        dealt = dealt.withColumn("blocks", F.lit(1) if narrow else F.coalesce("blocks", F.lit(1)))
+        dealt = family.join(shapes, "head", "left").where("idle IS NULL OR NOT idle").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod("c2", "blocks").cast("long")
-        pivot = F.shiftright("c1", _RANK_BITS) == F.col("head")  # the head stands in every cell of its family
         cells = dealt.withColumn("cell", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")).otherwise(F.array(own))))
         links = self._compare(cells.withColumn("side", F.lit(2)), rule, "near")
         if narrow:
@@ -331,6 +333,22 @@ def families(keyed: DataFrame) -> DataFrame:
     )
 
 
+def shape(family: DataFrame, pivot) -> DataFrame:
+    """``head, n, w, idle`` of every family: its classes, their tokens, and whether it has no pair that length and position allow.
+
+    Most families are two classes that share one common shingle by chance; they go before bitmaps
+    are moved.  The bounds are those of :func:`_likely`, which judges all other families.
+    """
+    apart = lambda p: F.sum(F.when(p, F.col("size")).otherwise(0))
+    facts = family.groupBy("head").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.sum(pivot.cast("int")).alias("pivots"),
+        apart(pivot).alias("y"), apart(~pivot).alias("x"), F.max("up").alias("up"), F.max("down").alias("down"),
+    )
+    near = f"{DENOMINATOR} * x >= {NUMERATOR} * y AND {DENOMINATOR} * y >= {NUMERATOR} * x"
+    fits = f"{NUMERATOR + DENOMINATOR} * least(x - up, y - down) >= {NUMERATOR} * (x + y)"
+    return facts.select("head", "n", "w", F.expr(f"n = 1 OR (n = 2 AND pivots = 1 AND NOT ({near} AND {fits}))").alias("idle"))
+
+
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """``class, root`` for every class in ``links`` (``a, b``): the smallest class that is reachable.
 
