@@ -406,9 +406,10 @@ def join_keys(lists: DataFrame, boundary: int) -> DataFrame:
 
     Two sets that are similar share one token among the first ``size - needed + 1`` of each and
     two among the first ``size - needed + 2``.  Sets a little above the boundary have keys of
-    both kinds, since they may be similar to sets below it.
+    both kinds, since they may be similar to sets below it.  Single tokens keep the heads they have
+    in ``lists``; where a head has the token beyond its prefix, its family may lack it.
     """
-    large = prefix_keys(lists.where(F.col("size") > boundary)).drop("top", "n")
+    large = prefix_keys(lists.where(F.col("size") > boundary))
     small = (
         lists.where(F.col("size") <= boundary * DENOMINATOR // NUMERATOR)
         .groupBy("c1", "c2", "size")
@@ -426,7 +427,7 @@ def join_keys(lists: DataFrame, boundary: int) -> DataFrame:
         )
         .select("k.key", "c1", "c2", "size", "k.rank")
     )
-    return with_heads(large.unionByName(small))
+    return large.unionByName(with_heads(small))
 
 
 _NEEDED = f"(({NUMERATOR} * size + {DENOMINATOR - 1}) div {DENOMINATOR})"
