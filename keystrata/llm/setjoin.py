@@ -312,11 +312,12 @@ def with_heads(keys: DataFrame) -> DataFrame:
 
     The head is the class with the smallest first long.  Its upper bits name the family, the
     lowest ones of ``top`` have the head's rank; longs only, so that Spark hashes and needs no sort.
+    Heads grow with the texts and Catalyst knows only the compressed size of ``keys``: they are never broadcast.
     """
     low = (1 << _RANK_BITS) - 1
     packed = F.col("c1").bitwiseAND(F.lit(~low)).bitwiseOR(F.least(F.col("rank").cast("long"), F.lit(low)))
     heads = keys.groupBy("key").agg(F.min(packed).alias("top"), F.min("c1").alias("a"), F.max("c1").alias("b"), F.count(F.lit(1)).alias("n"))
-    return keys.join(heads.where("a <> b").select("key", "top", "n"), "key")
+    return keys.join(heads.where("a <> b").select("key", "top", "n").hint("merge"), "key")
 
 
 def families(keyed: DataFrame) -> DataFrame:
