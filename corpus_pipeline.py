@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm import exact, jaccard, packing, quality, secrets
-from keystrata.llm.scratch import Scratch, sweep
+from keystrata.llm.scratch import Scratch, rows_without, sweep
 
 
 def _plain(docs: DataFrame, *own: str) -> DataFrame:
@@ -30,6 +30,12 @@ def _named(rows: DataFrame, like: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(like.columns)))
 
 
+def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` but for the ids in ``gone``, which is stored; most texts that stay are not shuffled."""
+    gone = Scratch(spark, name).keep(gone.select(F.col("doc_id").alias("own_doc_id")), "gone")
+    return _named(rows_without(_plain(docs, "doc_id"), gone, "own_doc_id"), docs)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go.
 
@@ -78,8 +84,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and text; of rows that share both one stays.  Null and empty texts are equal.  Very long texts are compared whole, an empty table stays empty, other columns stay as they are.
     """
     if _shared_ids(docs).isEmpty():
-        gone = exact.exact_dedup(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("own_doc_id"))
-        return _named(_plain(docs, "doc_id").join(gone, "own_doc_id", "left_anti"), docs)
+        gone = exact.exact_dedup(docs.select("doc_id", "text")).where("NOT kept")
+        return _without(spark, docs, gone, "pipeline-exact")
     rows = _plain(docs, "doc_id", "text").withColumns({"own_id": F.coalesce("own_doc_id", F.lit(_LAST)), "own_sha": _sha("own_text")})
     ledger = exact.exact_dedup(rows.select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"))).where("group_size > 1")
     said = ledger.groupBy(F.col("doc_id").alias("own_id"), F.col("text_sha256").alias("own_sha")).agg(
@@ -100,8 +106,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Very long texts are compared whole, an empty table stays empty, other columns stay as they are.
     """
     if _shared_ids(docs).isEmpty():
-        gone = jaccard.jaccard_join(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("own_doc_id"))
-        return _named(_plain(docs, "doc_id").join(gone, "own_doc_id", "left_anti"), docs)
+        gone = jaccard.jaccard_join(docs.select("doc_id", "text")).where("component_id <> doc_id")
+        return _without(spark, docs, gone, "pipeline-near")
     rows, own = _own_rows(spark, docs, "pipeline-near")
     gone = jaccard.jaccard_join(own).where("component_id <> doc_id").select(F.col("doc_id").alias("own_id"))
     return _named(rows.join(gone, "own_id", "left_anti"), docs)

@@ -99,3 +99,21 @@ def rows_with(docs: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
         some = wanted.select(bucket).distinct()
         docs = docs.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
     return docs.join(wanted.hint("merge"), on)  # at any size in the same way
+
+
+def rows_without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` but for the rows whose ``key`` is in ``gone`` (a stored table of ``key``); rows with a null key stay.
+
+    The buckets of the hashed keys in ``gone`` are broadcast, a bounded table; rows of other buckets
+    stay where they are, and only the rest is shuffled (at any size in the same way) and compared by key.
+    """
+    n = gone.count()
+    if n >= 2 * BROADCAST_BUCKETS:
+        return docs.join(gone.hint("merge"), key, "left_anti")
+    m = min(BROADCAST_BUCKETS, 1 << math.ceil(math.log2(16 * max(n, 1))))
+    bucket: Column = F.pmod(F.xxhash64(key), F.lit(m)).alias("_bucket")
+    some = F.broadcast(gone.select(bucket).distinct())
+    dealt = docs.withColumn("_bucket", bucket)
+    away = dealt.join(some, "_bucket", "left_anti").drop("_bucket")
+    near = dealt.join(some, "_bucket", "left_semi").drop("_bucket")
+    return away.unionByName(near.join(gone.hint("merge"), key, "left_anti"))

@@ -390,3 +390,31 @@ def test_pipeline_with_odd_tables(spark):
             assert (1, n[2]) in ids and (4, 0) in ids
         else:
             assert len(kept) == len(rows)
+
+
+def _shuffled(spark):
+    """Bytes that all stages of the session have written for shuffles so far."""
+    jvm = spark._jvm
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["exact", "near"])
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path, name):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.randbytes(40).hex() for _ in range(400)) for _ in range(100)]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, *texts[:5]])] + [(1000, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many ids to remove
+    try:
+        before = _shuffled(spark)
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "").write.parquet(f"{tmp_path}/out")
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, out.collect())) == [r for r in rows if not 100 <= r[0] < 105]
+    assert moved < sum(map(len, texts)) / 3
